@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import topk, warc
 
-QUERIES = {"op1_warc": warc.op1_warc}
-ORACLE_SQL = {"op1_warc": warc.OP1_SQL}
+QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op9_topk": topk.op9_topk,
+}
+ORACLE_SQL = {
+    "op1_warc": warc.OP1_SQL,
+    "op9_topk": topk.OP9_SQL,
+}
