@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import topk, warc
+from . import packing, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op4_packing": packing.op4_packing,
     "op9_topk": topk.op9_topk,
 }
 ORACLE_SQL = {

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 SLICE = 4 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
-LONG_WORD = 48
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 IS_WORD = np.ones(256, bool)
@@ -32,6 +30,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = max(n, SLICE + 1)
+        for i, base in enumerate((_MUL, np.uint64(pow(int(_MUL), -1, 1 << 64)))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.multiply.accumulate(steps)
+    return _POWERS[0], _POWERS[1]
+
+
 def raw_texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes and its row offsets in them; nulls have no bytes."""
     if isinstance(col, pa.ChunkedArray):
@@ -73,18 +85,12 @@ def words_of(buf: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.n
     last[tails] |= inside[tails]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     length = end - start
-    codes = (_LOWER_CODES if fold else _CODES)[buf]
-    h = np.zeros(len(start), np.uint64)
-    live, at = np.flatnonzero(length <= LONG_WORD), 0
+    power, inverse = _powers(len(buf))
     with np.errstate(over="ignore"):
-        while len(live):
-            h[live] = h[live] * _MUL + codes[start[live] + at]
-            at += 1
-            live = live[length[live] > at]
-        h = mix(h + length.astype(np.uint64))
-    for i in np.flatnonzero(length > LONG_WORD):
-        word = buf[start[i] : end[i]].tobytes()
-        h[i] = xxhash.xxh64_intdigest(word.lower() if fold else word)
+        sums = np.empty(len(buf) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((_LOWER_CODES if fold else _CODES)[buf] * power[: len(buf)], out=sums[1:])
+        h = mix((sums[end] - sums[start]) * inverse[start] + length.astype(np.uint64))
     return start, length, h
 
 
