@@ -233,7 +233,7 @@ def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
 def _pack_group(capacity: int, narrow: bool):
     kind = np.uint16 if narrow else np.uint32
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         order = np.argsort(group["row"].to_numpy(), kind="stable")
         ids = [np.frombuffer(group["ids"][int(i)].as_buffer(), kind) for i in order]
         docs = group["doc_id"].take(pa.array(order))
