@@ -51,5 +51,5 @@ def shuffle_parts(spark: SparkSession, df: DataFrame | None = None, per_part: in
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if df is None:
         return least
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, min(200_000, size // per_part + 1))

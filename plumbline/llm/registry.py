@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, quality, topk, warc
+from . import lm, packing, quality, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_lm": lm.op2_lm,
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op9_topk": topk.op9_topk,
