@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lm, packing, quality, topk, warc
+from . import jaccard, lm, packing, quality, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_lm": lm.op2_lm,
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op9_topk": topk.op9_topk,
 }
 ORACLE_SQL = {
