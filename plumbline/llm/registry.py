@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lm, packing, pii, quality, topk, warc
+from . import decontaminate, html, jaccard, lm, packing, pii, quality, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_topk": topk.op9_topk,
+    "op10_html": html.op10_html,
 }
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
