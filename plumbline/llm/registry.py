@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, lm, packing, pii, quality, topk, warc
+from . import decontaminate, html, jaccard, lm, packing, pii, quality, suffixes, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op5_jaccard": jaccard.op5_jaccard,
+    "op6_suffixes": suffixes.op6_suffixes,
     "op7_pii": pii.op7_pii,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_topk": topk.op9_topk,
