@@ -1,11 +1,67 @@
-"""Corpus pipeline (stages follow as their operators do)."""
+"""Corpus pipeline: quality, near duplicates, benchmark passages, personal data, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), where docs is read from Parquet, and works on all of it.  All but
+the last return the columns of documents: the first three drop rows, the fourth masks personal data in text
+(and corrects n_chars).  The last returns the packed pieces.  ``run`` writes each stage's result to the
+shared folder and reads it again for the next.
+
+The result depends on a trained network and a tokenizer, which SQL can't state: tests hold each stage
+against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontaminate, jaccard, packing, pii, quality
+from plumbline.llm.common import keep_rows, scanned, stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on this input's labelled documents, rejects go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the smallest id stays."""
+    docs = scanned(docs)
+    return keep_rows(docs, jaccard.similar(docs, n=5, num=80).where("kept"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of ten words of a benchmark item go."""
+    docs = scanned(docs)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return keep_rows(docs, found.where("not contaminated"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes its kind in brackets."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 4096."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("jaccard", jaccard_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, name)
     return docs

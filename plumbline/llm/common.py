@@ -37,6 +37,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROW = "__plumbline_row"
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is read straight from files, so that its rows keep their numbers whenever it is
+    read; else a stored copy.  Operators that number rows and come back to them start from this."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    plain = all(line.strip(" :+-").startswith(("Project", "Filter", "Relation")) for line in lines if line.strip())
+    return df if plain and len(df.inputFiles()) else stored(df, "rows")
+
+
+def keep_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``df`` (a scan) whose monotonically_increasing_id() is among ``rows`` (row), with its columns."""
+    kept = rows.select(F.col("row").alias(_ROW))
+    return df.withColumn(_ROW, F.monotonically_increasing_id()).join(kept, _ROW, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import scanned, stored, table
 from .components import components
 from .textscan import mix, raw_texts, slices, words_of
 
@@ -345,8 +345,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80) -> tuple[DataFrame, DataFrame]:
     """(rows, links): row, doc_id, n and cls of every row; root of every class that links with another.
 
-    ``row`` is monotonically_increasing_id() over ``docs``; sets link from a similarity of num / 100.
+    ``row`` is monotonically_increasing_id() over ``scanned(docs)``; sets link from a similarity of num / 100.
     """
+    docs = scanned(docs)
     spark = docs.sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

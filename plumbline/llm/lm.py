@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, stored, table
+from .common import scanned, shuffle_parts, stored, table
 from .textscan import mix, raw_texts, slices, words_of
 
 ALPHA = 0.1
@@ -288,6 +288,7 @@ def _score(shared):
 
 def score(docs: DataFrame, model: DataFrame, ranges: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
+    docs = scanned(docs)
     spark = docs.sparkSession
     stats = model.select("part", "types", "total", (F.octet_length("cells") + F.octet_length("words") + F.octet_length("counts")).alias("size")).toArrow()
     total, types = int(sum(stats["total"].to_pylist())), int(sum(stats["types"].to_pylist()))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, or_empty, stored, table
+from .common import broadcast_if_small, or_empty, scanned, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, ACCEPT, SUPPORT = 3, 0.6, 3
@@ -157,6 +157,7 @@ def _joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span's text replaced by its kind in brackets; overlapping spans become one."""
+    docs = scanned(docs)
     found = detect(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias("__row"), "spans")
     rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, or_empty, stored, table
+from .common import broadcast_if_small, or_empty, scanned, stored, table
 from .textscan import _CODES, _powers, mix, raw_texts, slices
 
 LENGTH, M = 100, 40
@@ -329,6 +329,7 @@ def _cut(batches):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, n_bytes, sha256 of the text, spans (removed, in bytes) and kept (bytes; null where all is kept)."""
+    docs = scanned(docs)
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), or_empty(F.col(text_col).cast("string")).alias("text"))
     rows = stored(texts.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "rows")
