@@ -1,0 +1,69 @@
+import hashlib
+import re
+
+from plumbline.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def sound(kind, v):
+    d = re.sub("[^0-9]", "", v)
+    return {"email": True, "ip": all(int(x) <= 255 for x in v.split(".")) if kind == "ip" else True, "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+
+def base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if sound(k, m[0])]
+
+
+TEXTS = [
+    "mail a.b+c@x-y.example.com, or é a@b.c_d@e.f.g 1.2.3.4.5.6.7.8 and 300.1.1.1 001.002.003.004 1.2.3", "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111 12",
+    "call +1 (386) 555-3733. +12 345 or +49(0)30.1234567-8) +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "x@y @z.com a@.com a@b. a@b.c..d 𝒳𝒴 me@x.org\n+4412345678", None, "", "no data",
+    "1 " * 9000, "1" * 5000, "a" * 20000 + "@", "a.b" * 3000 + "@x.y", "9.9.9." * 2000, "x@" + "a." * 3000 + "b", "1..2.3.4 ...1.2.3.4", "+1-(-)-2 +123456789012345678 +1 234 567 8",
+]
+
+
+def test_base_against_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], 1), (None, TEXTS[2], 1)], "doc_id long, text string, kind int")
+    rows = pii.detect(docs).select("doc_id", pii._joined(pii.F.col("base")).alias("base"), pii._joined(pii.F.col("spans")).alias("spans")).collect()
+    want = [(i, ",".join(base(t))) for i, t in enumerate(TEXTS)] + [(0, ",".join(base(TEXTS[0]))), (None, ",".join(base(TEXTS[2])))]
+    assert sorted(((r["doc_id"], r["base"]) for r in rows), key=str) == sorted(want, key=str)
+    assert all(set(filter(None, r["base"].split(","))) <= set(r["spans"].split(",")) for r in rows)
+
+
+def test_bootstrap_finds_unseen_identifiers(spark):
+    seeds = [f"words here mailto: user{i}@host{i}.example.com thanks for it" for i in range(8)]
+    new = ["then mailto: root@localhost thanks again", "the plain at@sign stands alone"]
+    docs = spark.createDataFrame(list(enumerate(seeds + new)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.detect(docs).collect()}
+    assert got[8] == [(0, 13, 27)] and got[9] == []
+    assert all(len(got[i]) == 1 for i in range(8))
+
+
+def test_common_words_are_no_patterns(spark):
+    texts = [f"the a{i}@b.com of the of the of the of the of the of" for i in range(8)] + ["the odd@thing of it"]
+    got = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all((len(r["spans"]) == 1) == (r["doc_id"] < 8) for r in got)
+
+
+def test_redact(spark, tmp_path):
+    rows = [(1, "write é a@b.com now 1.2.3.4", "k"), (2, None, "k"), (3, "clean", None), (1, "+4912345678", "k")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(str(tmp_path / "d"))
+    got = pii.redact(spark.read.parquet(str(tmp_path / "d")))
+    assert got.columns == ["doc_id", "text", "spans"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "write é [EMAIL] now [IP]", "k"), (2, None, "k"), (3, "clean", None), (1, "[PHONE]", "k")], key=str)
+
+
+def test_empty(spark):
+    assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_digest_of_no_spans(spark):
+    r = pii.detect(spark.createDataFrame([(1, "x")], "doc_id long, text string")).select(pii.F.sha2(pii._joined(pii.F.col("base")), 256).alias("s")).first()
+    assert r["s"] == hashlib.sha256(b"").hexdigest()
