@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op5_jaccard": jaccard.OP5_SQL,
+    "op6_suffixes": suffixes.OP6_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
 }

@@ -369,3 +369,26 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.coalesce(F.sha2("kept", 256), "sha256").alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT r, doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT *, unnest(generate_series(0, n - 100)) AS i FROM d WHERE n >= 100)
+), c AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY m ORDER BY doc_id NULLS LAST, r, i) AS k FROM w) WHERE k > 1
+), g AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS part FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM c)
+), p AS (
+  SELECT r, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY r, part
+), k AS (
+  SELECT d.r, h, coalesce(lag(p.b) OVER o, 0) AS a, p.a AS b FROM d JOIN p USING (r) WINDOW o AS (PARTITION BY d.r ORDER BY p.a)
+  UNION ALL SELECT d.r, h, coalesce(e, 0), n FROM d LEFT JOIN (SELECT r, max(b) AS e FROM p GROUP BY r) USING (r)
+), kept AS (
+  SELECT r, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256 FROM k GROUP BY r
+), s AS (
+  SELECT r, sum(b - a) AS removed, count(*) AS spans FROM p GROUP BY r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN s USING (r)
+"""
