@@ -37,10 +37,14 @@ _BASE = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 _NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 _LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++",
-    "ip": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?:[:.][0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:.])",
+    "ip": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:.]*[0-9])[0-9A-Fa-f]{1,4}(?:[:.][0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:.])",
     "card": r"(?<![0-9./-])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./-])",
     "phone": r"(?<![0-9().+-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9().-])",
 }
+#: As _NEEDS.
+_LOOSE_NEEDS = {"email": r"@[A-Za-z0-9.-]", "ip": r"[:.][0-9A-Fa-f]{1,4}[:.][0-9A-Fa-f]", "card": r"[0-9][./][0-9]{4}[./]", "phone": r"[0-9)][ .-][0-9]{3,4}[ .-][0-9]"}
+#: Every shape, base or loose, holds a digit or an at sign; most texts hold neither and are read once.
+_ANY = "[0-9@]"
 _MENTION = "array<struct<kind:int,start:int,end:int,value:string,before:string,after:string>>"
 _NEAR = 60
 
@@ -79,21 +83,31 @@ def _of_kind(i: int):
     return lambda s: s["kind"] == i
 
 
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _mentions(text: Column, kind: str, pattern: str, needs: str) -> Column:
-    """Each match's place, text and neighbouring words, from the matches and what lies between them."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))),
-        F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x["g"] + x["m"])),
-    )
+    """Each match's place, text and neighbouring words, from the matches and what lies between them.
+
+    What several places need is bound to a lambda's variable, which is evaluated once.
+    """
+
+    def ends(v: Column) -> Column:
+        both = F.zip_with(F.slice(v["gaps"], 1, F.size(v["matches"])), v["matches"], lambda g, m: F.length(g) + F.length(m))
+        return F.aggregate(both, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+    def each(v: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            before = F.regexp_extract(F.lower(F.right(F.get(v["gaps"], i), F.lit(_NEAR))), r"(?:^|\s)(\S+)\s+$", 1)
+            after = F.regexp_extract(F.lower(F.left(F.get(v["gaps"], i + 1), F.lit(_NEAR))), r"^\S*\s+(\S+)(?:\s|$)", 1)
+            end = F.get(v["ends"], i + 1)
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"), before.alias("before"), after.alias("after"))
 
-    def one(m: Column, i: Column) -> Column:
-        before = F.regexp_extract(F.lower(F.right(F.get(gaps, i), F.lit(_NEAR))), r"(?:^|\s)(\S+)\s+$", 1)
-        after = F.regexp_extract(F.lower(F.left(F.get(gaps, i + 1), F.lit(_NEAR))), r"^\S*\s+(\S+)(?:\s|$)", 1)
-        end = F.get(ends, i + 1)
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"), before.alias("before"), after.alias("after"))
+        return F.transform(v["matches"], one)
 
-    found = F.transform(matches, one)
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+    found = _let(parts, lambda v: _let(F.struct(v["gaps"], v["matches"], ends(v).alias("ends")), each))
     return F.when(F.rlike(text, F.lit(needs)), found).otherwise(F.array()).cast(_MENTION)
 
 
@@ -101,8 +115,9 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """row, doc_id, base and loose (arrays of mentions) of every row of ``docs``; stored."""
     text = F.col("text")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), or_empty(F.col(text_col).cast("string")).alias("text"))
-    base = F.concat(*(F.filter(_mentions(text, k, _BASE[k], _NEEDS[k]), _test(k)) for k in KINDS))
-    loose = F.concat(*(_mentions(text, k, p, p) for k, p in _LOOSE.items()))
+    some, none = F.rlike(text, F.lit(_ANY)), F.array().cast(_MENTION)
+    base = F.when(some, F.concat(*(F.filter(_mentions(text, k, _BASE[k], _NEEDS[k]), _test(k)) for k in KINDS))).otherwise(none)
+    loose = F.when(some, F.concat(*(_mentions(text, k, p, _LOOSE_NEEDS[k]) for k, p in _LOOSE.items()))).otherwise(none)
     return stored(rows.select("row", "doc_id", base.alias("base"), loose.alias("loose")), "mentions").withColumn(
         "loose", F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     )
@@ -158,11 +173,11 @@ def _joined(spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span's text replaced by its kind in brackets; overlapping spans become one."""
     docs = scanned(docs)
-    found = detect(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias("__row"), "spans")
+    found = detect(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -171,7 +186,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, name).alias("out"))
 
     made = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.col("spans").isNotNull(), made).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), made).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
