@@ -1,20 +1,23 @@
 """Main text of web pages, with boilerplate found by a host suffix array.
 
-A page is parsed once into blocks of text.  What HTML itself marks as no main text goes at once: scripts,
-styles, navigation, headers, footers, sidebars, forms, and elements whose class, id or role names a menu,
-notice, advert or the readers' comments.  Where the page marks its article or main part, the blocks within
-it are the main text.
-
-For pages that mark none, the pages of a host are compared: within groups of at most about
-``GROUP_PAGES`` pages of a host, dealt by a hash, so that a hot host makes many groups, the different
-pages' token streams are concatenated and a suffix array of them is sorted to a depth of ``RUN`` tokens.
-Runs of at least RUN tokens that occur on ``PAGES`` pages with different main text are boilerplate; a
-block is dropped if its tokens are covered, and keeps its unique runs' block if any of it is unique beyond
-``UNIQUE`` tokens.  Pages whose whole text is alike count as one page, so mirrored articles stay.
-
-Character references are decoded; white space within a block becomes one space; blocks are joined by one
-line feed in page order.  Rows: null html is empty and gives the empty text.  Null URLs share a host.
-Repeated rows each give a row.  An empty table gives no rows.  Columns beyond id, url and html are ignored.
+A page is parsed into blocks of text.  Each block is of one kind: main (within the page's article or main
+part), plain, or named, where the markup says what it is: navigation, headers, footers, sidebars, forms, and
+elements whose class, id or role names a menu, notice, advert or the readers' comments.  Scripts and styles
+are no text.
+
+The pages of a host are compared in groups of at most about ``GROUP_PAGES`` pages, dealt by a hash, so that a
+hot host makes many groups.  The token streams of all blocks of the group's pages are concatenated and a suffix
+array of them is sorted to a depth of ``RUN`` tokens; runs of at least RUN tokens that ``PAGES`` different
+pages have are repeated.  Pages whose whole streams are alike count as one, so mirrored pages stay.  A block
+that repeated runs cover, but for ``UNIQUE`` tokens, is boilerplate; blocks with unique runs stay.
+
+Markup, where it is clear, outranks repetition: named blocks go though they are unique, and the blocks of a
+marked main part stay though other pages repeat them (removing them would remove shared articles) and are the
+whole of the page's text.
+
+Character references are decoded; white space within a block becomes one space; blocks are joined by one line
+feed in page order.  Rows: null html is empty and gives the empty text.  Null URLs share a host.  Repeated rows
+each give a row.  An empty table gives no rows.  Columns beyond id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import broadcast_if_small, table
+from .textscan import raw_texts, words_of
 
 RUN, PAGES, GROUP_PAGES, UNIQUE = 4, 3, 256, 2
+NAMED, PLAIN, MARKED = 0, 1, 2
+BROADCAST_ROWS = 500_000
 _NAMES = lambda s: frozenset(s.split())
 #: Their content is no text at all, up to the end tag.
 RAW = _NAMES("script style textarea title xmp iframe noembed noframes noscript")
@@ -71,18 +76,20 @@ def _noted(name: str, attrs: str) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[str, bool]]:
-    """(text, in the marked main part) of each block that isn't plainly boilerplate, in page order."""
-    out: list[tuple[str, bool]] = []
+def blocks(html: str) -> list[tuple[str, int]]:
+    """(text, kind) of each block, in page order."""
+    out: list[tuple[str, int]] = []
     text: list[str] = []
+    named: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped from here on, main from here on
     dropped = main = False
 
     def end() -> None:
-        whole = " ".join(unescape("".join(text)).split())
-        text.clear()
-        if whole:
-            out.append((whole, main))
+        for held, kind in ((text, MARKED if main else PLAIN), (named, NAMED)):
+            whole = " ".join(unescape("".join(held)).split()) if held else ""
+            held.clear()
+            if whole:
+                out.append((whole, kind))
 
     def pop_to(depth: int) -> None:
         nonlocal dropped, main
@@ -93,11 +100,10 @@ def blocks(html: str) -> list[tuple[str, bool]]:
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
-            if not dropped:
-                text.append(html[at:])
+            (named if dropped else text).append(html[at:])
             break
-        if m.start() > at and not dropped:
-            text.append(html[at : m.start()])
+        if m.start() > at:
+            (named if dropped else text).append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -107,14 +113,14 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                 end()
                 continue
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in BLOCK and not dropped:
+            if name in BLOCK:
                 end()
             if depth is not None:
                 # An end tag ends what stands open in it; one of no block doesn't end blocks.
                 if name in BLOCK or not any(x[0] in BLOCK for x in stack[depth + 1 :]):
                     pop_to(depth)
             continue
-        if name in BLOCK and not dropped:
+        if name in BLOCK:
             end()
         for open_, enders in CLOSED_BY.items():
             if name in enders:
@@ -137,27 +143,19 @@ def blocks(html: str) -> list[tuple[str, bool]]:
             continue
         stack.append((name, dropped or name in DROPPED and not (main and name == "header") or _noted(name, m[3]), main or name in MAIN))
         dropped, main = stack[-1][1], stack[-1][2]
-    if not dropped:
-        end()
+    end()
     return out
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
-
-
-_PARSED = "row long, page_id long, url string, host string, marked boolean, blocks array<string>"
+_PARSED = "row long, page_id long, url string, host string, part int, blocks array<string>, kinds binary"
 
 
 def _parse(batches):
     for batch in batches:
-        pages = [blocks(h) if h else [] for h in batch.column(3).to_pylist()]
-        marked = [any(m for _, m in p) for p in pages]
-        texts = [[t for t, m in p if m or not k] for p, k in zip(pages, marked)]
+        pages = [blocks(h) if h else [] for h in batch.column(5).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in range(3)), pa.array([_host(u) for u in batch.column(2).to_pylist()]), pa.array(marked), pa.array(texts, pa.list_(pa.string()))],
-            names=["row", "page_id", "url", "host", "marked", "blocks"],
+            [*(batch.column(c) for c in range(5)), pa.array([[t for t, _ in p] for p in pages], pa.list_(pa.string())), pa.array([bytes(k for _, k in p) for p in pages], pa.binary())],
+            names=["row", "page_id", "url", "host", "part", "blocks", "kinds"],
         )
 
 
@@ -178,7 +176,7 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
     depth = 1
     while depth < run:
         step = min(depth, run - depth)
-        ahead = np.concatenate([rank[step:], np.full(step, -1)])
+        ahead = np.concatenate([rank[step:], np.full(min(step, len(rank)), -1)])
         _, rank = np.unique(rank * (len(rank) + len(streams) + 2) + ahead + 1, return_inverse=True)
         depth += step
     array = np.lexsort((owner, rank))
@@ -197,44 +195,48 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
     return [covered[e - n : e] for e, n in zip(last, size)]
 
 
-def _token_hashes(block: str) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) | 1 for w in block.encode().split()), np.uint64)
-
-
 def _strip(run: int, pages: int, unique: int):
     def group(table):
-        own = table["blocks"].to_pylist()
-        tokens = [[_token_hashes(b) for b in p] for p in own]
-        streams = [np.concatenate([np.zeros(0, np.uint64), *p]) for p in tokens]
+        texts = table["blocks"].combine_chunks()
+        page_of = np.repeat(np.arange(len(texts)), np.asarray(texts.value_lengths().fill_null(0)))
+        own = texts.flatten()
+        kinds = np.frombuffer(b"".join(table["kinds"].to_pylist()), np.uint8)
+        data, offs = raw_texts(own)
+        start, _, h = words_of(data[offs[0] : offs[-1]], offs - offs[0])
+        block = np.searchsorted((offs - offs[0])[1:], start, "right")
+        page = page_of[block]
+        cuts = np.searchsorted(page, np.arange(len(texts) + 1))
+        streams = [h[a:b] | np.uint64(1) for a, b in zip(cuts[:-1], cuts[1:])]
         first: dict[bytes, int] = {}
         alike = [first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)]
         different = sorted(set(alike))
         covered = dict(zip(different, repeated([streams[i] for i in different], run, pages)))
-        out = []
-        for i, p in enumerate(own):
-            mask, at, keep = covered[alike[i]], 0, []
-            for b, t in zip(p, tokens[i]):
-                alone = int((~mask[at : at + len(t)]).sum())
-                at += len(t)
-                # A block too short for a run of its own counts as covered only with the whole of it.
-                if alone > min(unique, len(t) - 1):
-                    keep.append(b)
-            out.append("\n".join(keep))
+        mask = np.concatenate([np.zeros(0, bool), *(covered[a] for a in alike)])
+        size = np.bincount(block, minlength=len(own))
+        alone = np.bincount(block, ~mask, len(own))
+        # A block too short for a run of its own counts as covered only with the whole of it.
+        content = (kinds == PLAIN) & (alone > np.minimum(unique, size - 1))
+        marked = np.bincount(page_of, kinds == MARKED, len(texts)) > 0
+        keep = np.where(marked[page_of], kinds == MARKED, content)
+        kept = own.filter(pa.array(keep)).to_pylist()
+        ends = np.cumsum(np.bincount(page_of, keep, len(texts))).astype(int).tolist()
+        out = ["\n".join(kept[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
         return pa.table({"row": table["row"], "page_id": table["page_id"], "url": table["url"], "text": pa.array(out, pa.string())})
 
     return group
 
 
+def host(url: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, shared: int = PAGES, group_pages: int = GROUP_PAGES) -> DataFrame:
     """row, page_id, url and text of every row of ``pages``."""
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = stored(rows.mapInArrow(_parse, _PARSED), "blocks")
-    plain = parsed.where("marked").select("row", "page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    loose = parsed.where("not marked")
-    hosts = loose.groupBy("host").count().select("host", F.ceil(F.col("count") / group_pages).alias("groups"))
-    dealt = loose.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("row"), F.col("groups")))
-    stripped = dealt.select("host", "part", "row", "page_id", "url", "blocks").groupBy("host", "part").applyInArrow(_strip(run, shared, UNIQUE), "row long, page_id long, url string, text string")
-    return plain.unionByName(stripped)
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host("url"))
+    large = pages.select(host(url_col).alias("host")).groupBy("host").count().where(F.col("count") > group_pages).select("host", F.ceil(F.col("count") / group_pages).alias("groups"))
+    dealt = rows.join(broadcast_if_small(large, large.count(), BROADCAST_ROWS), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("groups")), F.lit(0)).cast("int"))
+    parsed = dealt.select("row", "page_id", "url", "host", "part", "html").mapInArrow(_parse, _PARSED)
+    return parsed.groupBy("host", "part").applyInArrow(_strip(run, shared, UNIQUE), "row long, page_id long, url string, text string")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ from plumbline.llm import html
 
 def text(h):
     own = html.blocks(h)
-    marked = any(m for _, m in own)
-    return "\n".join(t for t, m in own if m or not marked)
+    kind = html.MARKED if any(k == html.MARKED for _, k in own) else html.PLAIN
+    return "\n".join(t for t, k in own if k == kind)
 
 
 def test_article_blocks():
