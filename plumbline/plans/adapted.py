@@ -293,9 +293,9 @@ def adapt_weighted_iou(spark, sf_dir):
 def adapt_percentiles(spark, sf_dir):
     """Exact percentiles, and the mean of the lowest quarter overall."""
     e = _t(spark, sf_dir, "events")
-    cut = e.agg(F.percentile("value", 0.25).alias("cut"))
-    low = F.when(F.col("value") <= F.col("cut"), F.col("value"))
-    return e.join(F.broadcast(cut), F.lit(True)).groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.75).alias("p75"), F.avg(low).alias("low_mean"))
+    cut = e.agg(F.percentile("value", 0.25)).first()[0]
+    low = F.when(F.col("value") <= F.lit(cut), F.col("value"))
+    return e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.75).alias("p75"), F.avg(low).alias("low_mean"))
 
 
 @query("SELECT l_suppkey, arg_min(l_linenumber, (-n, l_linenumber)) AS l_linenumber, max(n) AS n FROM (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey")
