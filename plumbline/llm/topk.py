@@ -13,7 +13,7 @@ so what is broadcast never grows with the data.  Every task returns at most k ro
 Rows: vectors that are null, or hold null or non-finite components, and rows with a null id take no
 part.  Vectors of unequal lengths are compared as if the shorter had zeros at its end; an empty
 vector scores 0.  Each of several rows with one id is a row of its own, both as query and as
-candidate.  Columns beyond id and vector are ignored.
+candidate.  A component or score that fits no long stops the job.  Columns beyond id and vector are ignored.
 """
 
 from __future__ import annotations

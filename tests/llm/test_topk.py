@@ -40,5 +40,5 @@ def test_empty_and_few(spark):
 
 def test_large_components(spark):
     rows = [(i, [float(2**30 * (i + 1)), float(-(2**31) + i * 2**12)], 0) for i in range(8)]
-    small = [(v, [x / 2**9 for x in e], s) for v, e, s in rows]
+    small = [(v, [x / 2**12 for x in e], s) for v, e, s in rows]
     assert sorted(run(spark, small)) == brute([(v, [float(__import__("numpy").float32(x)) for x in e], s) for v, e, s in small])
