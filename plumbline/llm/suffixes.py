@@ -30,14 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, or_empty, scanned, stored, table
+from .common import broadcast_if_small, or_empty, scanned, shuffle_parts, stored, table
 from .textscan import _CODES, _powers, mix, raw_texts, slices
 
 LENGTH, M = 100, 40
 SLICE_BYTES = 1 << 20
-RANGES, FILTER_WORDS, BITS = 64, 1 << 22, 4
-TASK_ANCHORS = 2 << 20
-SORT_BYTES = 2 << 20
+FILTER_WORDS, BITS = 1 << 22, 4
+LEAST_RANGES, MOST_RANGES, RANGE_BYTES = 64, 1 << 16, 8 << 20
+TASK_ANCHORS = 1 << 20
+SORT_BYTES = 1 << 20
 BROADCAST_ROWS = 2_000_000
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -87,76 +88,83 @@ def _key(doc_id, row) -> tuple:
     return (doc_id is None, doc_id or 0, row)
 
 
-def _anchor_counts(batches):
+def _anchor_counts(ranges: int):
     """Arrays of (anchor, text) by ranges of the anchor; one that is twice in a text has a second, unlike text."""
-    held_h, held_d, size, seen = [], [], 0, {}
 
-    def ranged():
+    def ranged(held_h, held_d):
         h, d = np.concatenate(held_h), np.concatenate(held_d)
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         h, d = h[keep], d[keep]
-        cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32), np.arange(RANGES + 1, dtype=np.uint64))
+        cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
         rows = [(i, h[a:b].tobytes(), d[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["part", "anchors", "texts"])
 
-    for batch in batches:
-        data, offs = raw_texts(batch.column(2))
-        ids, rows = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-        for lo, hi in slices(offs, SLICE_BYTES):
-            own = offs[lo : hi + 1] - offs[lo]
-            part = data[offs[lo] : offs[hi]]
-            row, h, _, _ = anchors(part, own)
-            text = np.zeros(hi - lo, np.uint64)
-            fresh = np.zeros(hi - lo, bool)
-            for i in np.unique(row).tolist():
-                d = _fresh(seen, part[own[i] : own[i + 1]].tobytes(), _key(ids[lo + i], rows[lo + i]))
-                if d is not None:
-                    text[i], fresh[i] = d, True
-            h, d, row = h[fresh[row]], text[row[fresh[row]]], row[fresh[row]]
-            order = np.lexsort((h, row))
-            h, d, row = h[order], d[order], row[order]
-            again = np.zeros(len(h), bool)
-            again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-            held_h += [h[~again], h[again]]
-            held_d += [d[~again], ~d[again]]
-            size += len(h)
-            if size > TASK_ANCHORS:
-                yield from ranged()
-                held_h, held_d, size = [], [], 0
-    if size:
-        yield from ranged()
-
-
-def _masks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches):
+        held_h, held_d, size, seen = [], [], 0, {}
+        for batch in batches:
+            data, offs = raw_texts(batch.column(2))
+            ids, rows = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for lo, hi in slices(offs, SLICE_BYTES):
+                own = offs[lo : hi + 1] - offs[lo]
+                part = data[offs[lo] : offs[hi]]
+                row, h, _, _ = anchors(part, own)
+                text = np.zeros(hi - lo, np.uint64)
+                fresh = np.zeros(hi - lo, bool)
+                for i in np.unique(row).tolist():
+                    d = _fresh(seen, part[own[i] : own[i + 1]].tobytes(), _key(ids[lo + i], rows[lo + i]))
+                    if d is not None:
+                        text[i], fresh[i] = d, True
+                h, d, row = h[fresh[row]], text[row[fresh[row]]], row[fresh[row]]
+                order = np.lexsort((h, row))
+                h, d, row = h[order], d[order], row[order]
+                again = np.zeros(len(h), bool)
+                again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+                held_h += [h[~again], h[again]]
+                held_d += [d[~again], ~d[again]]
+                size += len(h)
+                if size > TASK_ANCHORS:
+                    yield from ranged(held_h, held_d)
+                    held_h, held_d, size = [], [], 0
+        if size:
+            yield from ranged(held_h, held_d)
+
+    return run
+
+
+def _masks(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     x = mix(h ^ np.uint64(0x3C6EF372FE94F82B))
     mask = np.zeros(len(h), np.uint64)
     for i in range(BITS):
         mask |= np.uint64(1) << ((x >> np.uint64(6 * i)) & np.uint64(63))
-    part = (h >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)
-    return (part * np.uint64(FILTER_WORDS // RANGES) + (x >> np.uint64(32)) % np.uint64(FILTER_WORDS // RANGES)).astype(np.int64), mask
+    part = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    return (part * np.uint64(FILTER_WORDS // ranges) + (x >> np.uint64(32)) % np.uint64(FILTER_WORDS // ranges)).astype(np.int64), mask
 
 
-def _repeated_range(key, group):
+def _repeated_range(ranges: int):
     """A range's part of the filter: the anchors that two texts have, or one text twice."""
-    read = lambda c: np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group[c]])
-    h, d = read("anchors"), read("texts")
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    other = (h[1:] == h[:-1]) & (d[1:] != d[:-1])
-    part, width = key[0].as_py(), FILTER_WORDS // RANGES
-    cells = np.zeros(width, np.uint64)
-    at, mask = _masks(np.unique(h[1:][other]))
-    np.bitwise_or.at(cells, at - part * width, mask)
-    return pa.table({"part": pa.array([part], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary())})
+
+    def run(key, group):
+        read = lambda c: np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group[c]])
+        h, d = read("anchors"), read("texts")
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], d[order]
+        other = (h[1:] == h[:-1]) & (d[1:] != d[:-1])
+        part, width = key[0].as_py(), FILTER_WORDS // ranges
+        cells = np.zeros(width, np.uint64)
+        at, mask = _masks(np.unique(h[1:][other]), ranges)
+        np.bitwise_or.at(cells, at - part * width, mask)
+        return pa.table({"part": pa.array([part], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary())})
+
+    return run
 
 
 _SEGMENT = "anchor long, digest long, row long, doc_id long, start long, strings int, content binary"
 
 
-def _segments(cells):
+def _segments(cells, ranges: int):
     def run(batches):
         bits, seen = cells.value, {}
         for batch in batches:
@@ -166,7 +174,7 @@ def _segments(cells):
                 own = offs[lo : hi + 1] - offs[lo]
                 part = data[offs[lo] : offs[hi]]
                 row, h, first, last = anchors(part, own)
-                at, mask = _masks(h)
+                at, mask = _masks(h, ranges)
                 keep = np.flatnonzero((bits[at] & mask) == mask)
                 row, h, first, last = row[keep], h[keep], first[keep], last[keep]
                 fresh = np.zeros(hi - lo, bool)
@@ -338,11 +346,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copy = (F.col("first").isNotNull() & (F.col("first") != F.col("row"))).alias("copy")
     rows = stored(rows.join(firsts, ["sha256", "n_bytes"], "left").select("row", "doc_id", "n_bytes", "sha256", copy), "rows")
 
-    parts = texts.mapInArrow(_anchor_counts, "part long, anchors binary, texts binary").groupBy("part").applyInArrow(_repeated_range, "part long, cells binary").toArrow()
-    cells = np.zeros(FILTER_WORDS, np.uint64)
+    # As many ranges as keep a range's anchors within a task; the filter is as large whatever their number.
+    ranges = 1 << max(LEAST_RANGES, min(MOST_RANGES, shuffle_parts(spark, texts, RANGE_BYTES))).bit_length() - 1
+    parts = texts.mapInArrow(_anchor_counts(ranges), "part long, anchors binary, texts binary").groupBy("part").applyInArrow(_repeated_range(ranges), "part long, cells binary").toArrow()
+    cells, width = np.zeros(FILTER_WORDS, np.uint64), FILTER_WORDS // ranges
     for part, own in zip(parts["part"].to_pylist(), parts["cells"]):
-        cells[part * (FILTER_WORDS // RANGES) : (part + 1) * (FILTER_WORDS // RANGES)] = np.frombuffer(own.as_buffer(), np.uint64)
-    segments = stored(texts.mapInArrow(_segments(spark.sparkContext.broadcast(cells)), _SEGMENT), "segments")
+        cells[part * width : (part + 1) * width] = np.frombuffer(own.as_buffer(), np.uint64)
+    segments = stored(texts.mapInArrow(_segments(spark.sparkContext.broadcast(cells), ranges), _SEGMENT), "segments")
     slim = segments.select("anchor", "digest", "row", "doc_id", "start", "strings")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("r"), F.col("start").alias("s"))
     earliest = stored(segments.groupBy("anchor", "digest").agg(F.min(order).alias("first"), F.first("content").alias("content")), "earliest")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
