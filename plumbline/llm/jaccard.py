@@ -2,17 +2,19 @@
 
 1. One scan gives every row its shingle set's size and class (a 64-bit digest of the sorted set: rows
    with equal sets are one class from here on), and counts the shingles that recur within a task.
-2. The most frequent shingles, those with a share of at least 1 / ``HEAVY`` of all shingle occurrences
-   (so at most HEAVY of them), are the heavy ones.  They stand last in the order in which a set is
-   indexed, so lists of very common passages are scanned only for sets that are made of little else.
+2. Shingles found ``LEAST_HEAVY`` times or more are the heavy ones; where there are over ``HEAVY`` of them,
+   the bar is doubled until there are not, which bounds their broadcast.  They stand last in the order in
+   which a set is indexed, so a common passage's lists are scanned only for sets made of little else.
 3. Sets of at most x shingles enumerate their subsets of the sizes that a partner must share; larger
    ones, and small ones that may link with larger ones, put a prefix of their shingles into inverted
    lists.  x is where the next size's subsets would cost more rows than its lists (``boundary``).
-4. Lists give candidate pairs.  First each list's members meet its smallest and its largest class; what
-   links is merged.  Then all pairs of a list that are not yet in one component are taken, long lists in
-   blocks of ``LIST_BLOCK`` members.  A pair inside a component could add no class to it, so none is lost.
-5. A candidate is held against parity bitmaps, whose distance never exceeds the sets' difference, and
-   what is left is verified on the whole sets.
+4. Lists give candidate pairs.  First each list's members meet its two most typical classes, those with the
+   largest shares of heavy shingles (of near copies, the least changed); what links is merged.  Then all
+   pairs of a list that are not yet in one component are taken, long lists in blocks of ``LIST_BLOCK``
+   members.  A pair inside a component could add no class to it, so none is lost.
+5. A candidate is held against parity bitmaps, whose distance never exceeds the sets' difference (lists of
+   over ``LIGHT_LIST`` members carry them along, so that only what passes leaves the list), and what is left
+   is verified on the whole sets.
 
 Rows: null text, and text without words, has the empty set, which links with nothing.  A text with fewer
 words than a shingle has its whole sequence as one.  Null ids are rows of their own; they take no part in
@@ -31,15 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scanned, stored, table
+from .common import broadcast_if_small, scanned, stored, table
 from .components import components
 from .textscan import mix, raw_texts, slices, words_of
 
 HEAVY = 1_000_000
-LEAST_HEAVY, REPORT = 16, 6
+LEAST_HEAVY, REPORT = 16, 2
 LARGEST_SMALL = 24
 LIST_BLOCK = 512
-FILTER_CLASSES = 2_000_000
+LIGHT_LIST = 48
+BROADCAST_ROWS = 2_000_000
 TASK_SHINGLES = 6 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,7 +170,7 @@ def _postings(shared):
                         for sub in combinations(s[cuts[i] : cuts[i + 1]].tolist(), c):
                             keys.append(xxhash.xxh64_intdigest(np.array(sub, np.uint64).tobytes(), seed=c) - (1 << 63))
                             own.append(i)
-                rank = np.zeros(len(s), np.uint8)
+                rank = np.zeros(len(s), np.uint8)  # 0: light
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                     rank = np.where(heavy[at] == s, weight[at], 0).astype(np.uint8)
@@ -177,28 +180,28 @@ def _postings(shared):
                 take = listed[row] & (place < prefix(size, num)[row])
                 keys = np.concatenate([np.array(keys, np.int64), s[order][take].view(np.int64)])
                 own = np.concatenate([np.array(own, np.int64), row[take]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes[own]), pa.array(size[own].astype(np.int32))], names=["key", "cls", "n"])
+                typical = (1000 * np.bincount(row, rank > 0, m) / np.maximum(np.diff(cuts), 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes[own]), pa.array(size[own].astype(np.int32)), pa.array(typical[own])], names=["key", "cls", "n", "typical"])
 
     return run
 
 
 def _lists(batches):
-    """Runs of equal key (and block pair) over batches sorted by them, as numpy columns."""
+    """Numpy columns of whole lists, and where each list begins; batches are sorted by key (and block pair)."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [np.asarray(c) for c in batch.columns]
+        cols = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns]
         if rest is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
         cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
         last = cut[-1] if len(cut) else 0
-        bounds = np.concatenate([[0], cut])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            yield [c[a:b] for c in cols]
+        if last:
+            yield [c[:last] for c in cols], np.concatenate([[0], cut[:-1]])
         rest = [c[last:] for c in cols]
     if rest is not None and len(rest[0]):
-        yield rest
+        yield rest, np.zeros(1, np.int64)
 
 
 _PAIR_ROWS = 1 << 19
@@ -230,14 +233,18 @@ def _fits(n: np.ndarray, m: np.ndarray, num: int) -> np.ndarray:
 
 
 def _stars(num: int):
-    """Each member with its list's smallest and largest class."""
+    """Each member with its list's two most typical classes."""
 
     def run(batches):
         out = _Pairs()
-        for _, _, _, _, cls, n in _lists(batches):
-            for lead in (int(np.argmin(cls)), int(np.argmax(cls))):
+        for (_, _, _, _, cls, n, typical), starts in _lists(batches):
+            size = np.diff(np.append(starts, len(cls)))
+            own = np.repeat(np.arange(len(starts)), size)
+            order = np.lexsort((cls, -typical, own))
+            for place in (0, 1):
+                lead = order[starts + np.minimum(place, size - 1)][own]
                 ok = _fits(n, n[lead], num) & (cls != cls[lead])
-                yield from out.add(cls[ok], np.full(int(ok.sum()), cls[lead]))
+                yield from out.add(cls[ok], cls[lead][ok])
         yield from out.take()
 
     return run
@@ -248,21 +255,32 @@ def _apart(num: int):
 
     def run(batches):
         out = _Pairs()
-        for _, i, j, block, cls, n, root in _lists(batches):
-            if (root == root[0]).all():
-                continue
-            order = np.argsort(n, kind="stable")
-            cls, n, root, block = cls[order], n[order], root[order], block[order]
-            most = np.searchsorted(n, n * 100 // num, "right")  # partners stand after a member, up to this size
-            for k in range(len(cls) - 1):
-                mate = slice(k + 1, most[k])
-                ok = root[mate] != root[k]
-                if i[0] != j[0]:
-                    ok &= block[mate] != block[k]
-                if ok.any():
-                    yield from out.add(cls[mate][ok], np.full(int(ok.sum()), cls[k]))
+        for cols, starts in _lists(batches):
+            size = np.diff(np.append(starts, len(cols[0])))
+            _, i, j, _, cls, n, root, bits = cols
+            a = starts[(size == 2) & (i[starts] == j[starts])]
+            a = a[_fits(n[a], n[a + 1], num) & (root[a] != root[a + 1])]
+            yield from out.add(cls[a], cls[a + 1])
+            for at in np.flatnonzero((size > 2) | ((size == 2) & (i[starts] != j[starts]))):
+                yield from pairs([c[starts[at] : starts[at] + size[at]] for c in cols], out)
         yield from out.take()
 
+    def pairs(cols, out):
+        _, i, j, block, cls, n, root, bits = cols
+        order = np.argsort(n, kind="stable")
+        cls, n, root, block, bits = cls[order], n[order], root[order], block[order], bits[order]
+        near = None if bits[0] is None else _Near(bits, n, num)
+        most = np.searchsorted(n, n.astype(np.int64) * 100 // num, "right")  # partners stand after a member, up to this size
+        for k in range(len(cls) - 1):
+            mate = slice(k + 1, most[k])
+            ok = root[mate] != root[k]
+            if i[0] != j[0]:
+                ok &= block[mate] != block[k]
+            if near is not None and ok.any():
+                ok[ok] = near(k, k + 1 + np.flatnonzero(ok))
+            if ok.any():
+                yield from out.add(cls[mate][ok], np.full(int(ok.sum()), cls[k]))
+
     return run
 
 
@@ -273,27 +291,38 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(at.astype(np.uint8))
 
 
-def _whole_sets(shared):
-    """(class, size, bitmap, shingles) of the classes that are in ``wanted`` (all, if it is None)."""
+class _Near:
+    """Which of a list's members (by rising size) may link with one of them, by bitmaps of equal length."""
+
+    def __init__(self, bits: np.ndarray, n: np.ndarray, num: int):
+        self.n, self.num, self.size = n.astype(np.int64), num, np.array([len(b) for b in bits])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size).tolist():
+            # Linked sets' sizes differ by less than half, so their bitmaps by one halving at most.
+            own = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            rows = np.stack([_folded(bits[i], size) for i in own])
+            index = np.full(len(bits), -1)
+            index[own] = np.arange(len(own))
+            self.at[size] = rows, index
+
+    def __call__(self, k: int, mates: np.ndarray) -> np.ndarray:
+        rows, index = self.at[int(self.size[k])]
+        apart = np.bitwise_count(rows[index[mates]] ^ rows[index[k]]).sum(1).astype(np.int64)
+        both = self.n[mates] + self.n[k]
+        return (100 + self.num) * ((both - apart) // 2) >= self.num * both
+
+
+def _sets(n: int, whole: bool):
+    """(class, size, bitmap or sorted shingles) of each row, which is (class, text)."""
 
     def run(batches):
-        n, wanted = shared.value
         for batch in batches:
-            data, offs = raw_texts(batch.column(0))
+            data, offs = raw_texts(batch.column(1))
             for lo, hi in slices(offs):
                 row, s = shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
-                cuts = np.searchsorted(row, np.arange(hi - lo + 1))
-                out = []
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    if b > a:
-                        c = digest(s[a:b])
-                        if wanted is not None:
-                            at = int(np.searchsorted(wanted, c))
-                            if at == len(wanted) or wanted[at] != c:
-                                continue
-                        out.append((c, b - a, _bitmap(s[a:b]).tobytes(), s[a:b].tobytes()))
-                cols = list(zip(*out)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["cls", "n", "bits", "shingles"])
+                cuts = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
+                out = [(s[a:b] if whole else _bitmap(s[a:b])).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts).astype(np.int32)), pa.array(out, pa.binary())], names=["cls", "n", "bits"])
 
     return run
 
@@ -334,11 +363,26 @@ def _linked(num: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+class _Classes:
+    """Reads the sets of chosen classes again from one text of each; nothing else is stored or shuffled of them."""
+
+    def __init__(self, texts: DataFrame, rows: DataFrame, n: int):
+        self.texts, self.n = texts.select("row", "text"), n
+        self.one = rows.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row"))
+
+    def sets(self, classes: DataFrame, whole: bool) -> DataFrame:
+        """(cls, n, bits) of ``classes`` (cls): bitmaps, or the sorted shingles; stored."""
+        wanted = stored(classes.select("cls").distinct().join(self.one, "cls"), "wanted")
+        own = self.texts.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS), "row")
+        return stored(own.select("cls", "text").mapInArrow(_sets(self.n, whole), "cls long, n int, bits binary"), "sets")
+
+
+def _verified(pairs: DataFrame, bitmaps: DataFrame, classes: _Classes, num: int) -> DataFrame:
     """The stored pairs (a, b) whose whole sets link."""
-    a, b = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    a, b = (bitmaps.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     near = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(num), "a long, b long"), "near")
-    a, b = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
+    whole = classes.sets(near.select(F.explode(F.array("a", "b")).alias("cls")), True)
+    a, b = (whole.select(F.col("cls").alias(c), F.col("bits").alias(f"s_{c}")) for c in "ab")
     return stored(near.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(_linked(num), "a long, b long"), "links")
 
 
@@ -354,7 +398,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = stored(texts.mapInArrow(_sizes(n), _SIZES), "sizes")
     rows, recurring = seen.where("row is not null"), seen.where("row is null").groupBy(F.col("cls").alias("shingle")).agg(F.sum("n").alias("df"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    heavy = recurring.where(F.col("df") >= max(LEAST_HEAVY, -(-total // HEAVY))).toArrow()
+    often = {r["bar"]: r["count"] for r in recurring.where(F.col("df") >= LEAST_HEAVY).groupBy(F.floor(F.log2(F.col("df") / LEAST_HEAVY)).alias("bar")).count().collect()}
+    bar = next(b for b in range(64) if sum(c for k, c in often.items() if k >= b) <= HEAVY)
+    heavy = recurring.where(F.col("df") >= LEAST_HEAVY << bar).toArrow()
     keys, df = heavy["shingle"].to_numpy().view(np.uint64), heavy["df"].to_numpy()
     order = np.argsort(keys)
     sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
@@ -363,19 +409,17 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = sc.broadcast((n, num, x, keys[order], weight))
 
     only = texts.select("text")
-    postings = only.mapInArrow(_postings(shared), "key long, cls long, n int")
-    by_key = postings.repartition(F.col("key")).groupBy("key", "cls", "n").agg(F.lit(1).alias("one"))
+    postings = only.mapInArrow(_postings(shared), "key long, cls long, n int, typical int")
+    by_key = postings.repartition(F.col("key")).groupBy("key", "cls", "n").agg(F.max("typical").alias("typical"))
     lists = by_key.withColumn("members", F.expr("count(*) over (partition by key)")).where("members > 1")
-    lists = stored(lists.select("key", "cls", "n", "members"), "lists")
+    lists = stored(lists.select("key", "cls", "n", "typical", "members"), "lists")
 
-    classes = lists.select("cls").distinct()
-    many = classes.count()
-    wanted = np.sort(classes.toArrow()["cls"].to_numpy()) if many <= FILTER_CLASSES else None
-    sets = stored(only.mapInArrow(_whole_sets(sc.broadcast((n, wanted))), "cls long, n int, bits binary, shingles binary").dropDuplicates(["cls"]), "sets")
+    classes = _Classes(texts, rows, n)
+    bitmaps = classes.sets(lists, False)
 
     none = F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block")
-    stars = lists.select("key", *none, "cls", "n").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_stars(num), "a long, b long").distinct()
-    first = _verified(stars, sets, num)
+    stars = lists.select("key", *none, "cls", "n", "typical").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_stars(num), "a long, b long").distinct()
+    first = _verified(stars, bitmaps, classes, num)
     roots = components(first)
 
     known = lists.join(roots, lists["cls"] == roots["node"], "left").select("key", "cls", "n", "members", F.coalesce("root", "cls").alias("root"))
@@ -383,9 +427,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.col("members") / LIST_BLOCK).cast("int")
     block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     dealt = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "root")
+    pair = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    light = dealt.where(F.col("members") <= LIGHT_LIST).select("key", *pair, "block", "cls", "n", "root", F.lit(None).cast("binary").alias("bits"))
+    long_ = dealt.where(F.col("members") > LIGHT_LIST).join(bitmaps.select("cls", "bits"), "cls").select("key", *pair, "block", "cls", "n", "root", "bits")
+    dealt = light.unionByName(long_)
     apart = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j").mapInArrow(_apart(num), "a long, b long").distinct()
-    second = _verified(apart, sets, num)
+    second = _verified(apart, bitmaps, classes, num)
     return rows, components(first.unionByName(second))
 
 
