@@ -37,9 +37,9 @@ from .textscan import mix, raw_texts, slices, words_of
 ALPHA = 0.1
 K, H, RARE_MU, HEAD_SHARE = 2.0, 0.83, 20.0, 1e-5
 BASE, BITS, BITS_PER_ENTRY = 1.5, 3, 10
-SEGMENT_BYTES = 96 << 20
+SEGMENT_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
-TASK_KEYS = 3 << 20
+TASK_KEYS = 2 << 20
 END, START = np.uint64(0xE4D0F7E87E4D0F7E), np.uint64(0x57A4757A457A4757)
 _GROWTH = np.log(BASE)
 _WORD, _PAIR = 0, 1
@@ -308,7 +308,10 @@ def score(docs: DataFrame, model: DataFrame, ranges: int, id_col: str = "doc_id"
     passes = None
     for i, parts in enumerate(segments):
         own = model.where(F.col("part").between(min(parts, default=0), max(parts, default=-1))).select("part", "cells", "words", "counts").toArrow()
-        shared = spark.sparkContext.broadcast((Segment(own, ranges), head, head_n, total, types, starts, i == 0))
+        segment = Segment(own, ranges)
+        del own
+        shared = spark.sparkContext.broadcast((segment, head, head_n, total, types, starts, i == 0))
+        del segment
         scored = rows.mapInArrow(_score(shared), "doc long, doc_id long, n_tokens long, n_known long, base_score double, score double")
         passes = scored if passes is None else passes.unionByName(scored)
     if len(segments) > 1:
