@@ -229,7 +229,7 @@ class _Pairs:
 
 
 def _fits(n: np.ndarray, m: np.ndarray, num: int) -> np.ndarray:
-    return np.minimum(n, m) * 100 >= num * np.maximum(n, m)
+    return np.minimum(n, m).astype(np.int64) * 100 >= num * np.maximum(n, m).astype(np.int64)
 
 
 def _stars(num: int):
@@ -391,6 +391,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``row`` is monotonically_increasing_id() over ``scanned(docs)``; sets link from a similarity of num / 100.
     """
+    if not 50 < num <= 100:  # linked sets' bitmaps must differ by one halving at most
+        raise ValueError("similarity must be over 50 and at most 100 hundredths")
     docs = scanned(docs)
     spark = docs.sparkSession
     sc = spark.sparkContext
