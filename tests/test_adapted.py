@@ -1,0 +1,27 @@
+"""The queries that take whole tables, against brute force."""
+
+from plumbline.plans import adapted
+
+SF = "/root/testdata/sf0.001"
+
+
+def _components(pixels):
+    """The smallest id that 8-neighbours in the same image reach, of (id, image, x, y)."""
+    at = {p[1:]: p[0] for p in pixels}
+    found = {}
+    for id_, *place in sorted(pixels):
+        todo = [] if id_ in found else [tuple(place)]
+        while todo:
+            m, x, y = todo.pop()
+            if at[m, x, y] not in found:
+                found[at[m, x, y]] = id_
+                todo += [n for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (n := (m, x + dx, y + dy)) in at]
+    return found
+
+
+def test_components_of_all_events(spark, tmp_path):
+    ids = [*range(2000), 99_999, 10**12]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["id"]: r["component"] for r in adapted.QUERIES["adapt_connected_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == _components([(i, i // 900 * 4 + i % 4, i * 37 % 97, i * 53 % 89) for i in ids])
+    assert {r["id"]: r["component"] for r in adapted.QUERIES["adapt_connected_components"](spark, str(tmp_path)).collect()} == {i: c for i, c in got.items() if i < 900}
