@@ -5,11 +5,15 @@ part), plain, or named, where the markup says what it is: navigation, headers, f
 elements whose class, id or role names a menu, notice, advert or the readers' comments.  Scripts and styles
 are no text.
 
-The pages of a host are compared in groups of at most about ``GROUP_PAGES`` pages, dealt by a hash, so that a
-hot host makes many groups.  The token streams of all blocks of the group's pages are concatenated and a suffix
-array of them is sorted to a depth of ``RUN`` tokens; runs of at least RUN tokens that ``PAGES`` different
-pages have are repeated.  Pages whose whole streams are alike count as one, so mirrored pages stay.  A block
-that repeated runs cover, but for ``UNIQUE`` tokens, is boilerplate; blocks with unique runs stay.
+Runs of at least ``RUN`` tokens that ``PAGES`` different pages of a host have are repeated.  Pages whose whole
+streams are alike count as one, so mirrored pages stay.  A block that repeated runs cover, but for ``UNIQUE``
+tokens, is boilerplate; blocks with unique runs stay.  For a host of at most ``GROUP_PAGES`` pages, the token
+streams of all its blocks are concatenated and a suffix array of them is sorted to a depth of RUN tokens.  The
+pages of a wider host are dealt into groups of about that size, and its runs are counted over the whole host:
+64-bit hashes of host and run are dealt with those of the pages' streams, at most PAGES of them from one slice
+of a task, and the repeated runs go back to the groups that hold them, so that how pages are dealt decides
+nothing.  A wide host none of whose pages waits for that verdict (each marks a main part, or has no plain
+block) isn't counted.
 
 Markup, where it is clear, outranks repetition: named blocks go though they are unique, and the blocks of a
 marked main part stay though other pages repeat them (removing them would remove shared articles) and are the
@@ -23,6 +27,7 @@ each give a row.  An empty table gives no rows.  Columns beyond id, url and html
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -30,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, table
-from .textscan import raw_texts, words_of
+from .common import broadcast_if_small, scanned, stored, table
+from .textscan import mix, raw_texts, slices, words_of
 
 RUN, PAGES, GROUP_PAGES, UNIQUE = 4, 3, 256, 2
 NAMED, PLAIN, MARKED = 0, 1, 2
@@ -147,18 +152,91 @@ def blocks(html: str) -> list[tuple[str, int]]:
     return out
 
 
-_PARSED = "row long, page_id long, url string, host string, part int, blocks array<string>, kinds binary"
+_PARSED = "row long, page_id long, url string, host string, part int, wide boolean, blocks array<string>, kinds binary"
 
 
 def _parse(batches):
     for batch in batches:
-        pages = [blocks(h) if h else [] for h in batch.column(5).to_pylist()]
+        pages = [blocks(h) if h else [] for h in batch.column(6).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in range(5)), pa.array([[t for t, _ in p] for p in pages], pa.list_(pa.string())), pa.array([bytes(k for _, k in p) for p in pages], pa.binary())],
-            names=["row", "page_id", "url", "host", "part", "blocks", "kinds"],
+            [*(batch.column(c) for c in range(6)), pa.array([[t for t, _ in p] for p in pages], pa.list_(pa.string())), pa.array([bytes(k for _, k in p) for p in pages], pa.binary())],
+            names=["row", "page_id", "url", "host", "part", "wide", "blocks", "kinds"],
         )
 
 
+def _waits(kinds: bytes) -> bool:
+    """Whether repeated runs decide on a page with blocks of these kinds."""
+    return MARKED not in kinds and PLAIN in kinds
+
+
+def _waiting(batches):
+    for batch in batches:
+        hosts = {host for host, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if h and _waits(bytes(k for _, k in blocks(h)))}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(hosts), pa.string())], names=["host"])
+
+
+def _hash(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little")
+
+
+def run_keys(h: np.ndarray, page: np.ndarray, hosts: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of each run of ``run`` tokens within a page; ``page`` is each token's, ``hosts`` are the pages'."""
+    start = np.flatnonzero(page[: max(len(h) - run + 1, 0)] == page[run - 1 :])
+    of = {x: _hash(x.encode()) for x in set(hosts)}
+    key = np.array([of[x] for x in hosts], np.uint64)[page[start]]
+    for i in range(run):
+        key = mix(key ^ h[start + i])
+    return start, key.view(np.int64)
+
+
+def _page_slices(batch):
+    """For each slice of whole pages: first page, end, token hashes, each token's page in the slice."""
+    texts = batch.column("blocks")
+    data, offs = raw_texts(texts.flatten())
+    ends = np.concatenate([[0], np.cumsum(np.asarray(texts.value_lengths().fill_null(0)))])
+    for lo, hi in slices(offs[ends]):
+        own = offs[ends[lo] : ends[hi] + 1]
+        start, _, h = words_of(data[own[0] : own[-1]], own - own[0])
+        yield lo, hi, h, np.searchsorted(offs[ends[lo + 1 : hi + 1]] - own[0], start, "right")
+
+
+def _count(run: int, pages: int):
+    def count(batches):
+        for batch in batches:
+            hosts = batch.column("host").to_pylist()
+            for lo, hi, h, page in _page_slices(batch):
+                start, key = run_keys(h, page, hosts[lo:hi], run)
+                cuts = np.searchsorted(page, np.arange(hi - lo + 1))
+                whole = np.array([_hash(h[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], np.uint64).view(np.int64)[page[start]]
+                order = np.lexsort((whole, key))
+                key, whole = key[order], whole[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+                key, whole = key[new], whole[new]
+                # Pages beyond the first ``pages`` of a run in this slice can't change whether it is repeated.
+                seen = np.zeros(len(key), bool)
+                seen[pages:] = key[pages:] == key[:-pages]
+                yield pa.RecordBatch.from_arrays([pa.array(key[~seen]), pa.array(whole[~seen])], names=["key", "whole"])
+
+    return count
+
+
+def _ask(run: int):
+    def ask(batches):
+        for batch in batches:
+            hosts, part = batch.column("host").to_pylist(), batch.column("part").to_numpy(zero_copy_only=False)
+            waits = np.array([_waits(k) for k in batch.column("kinds").to_pylist()], bool)
+            for lo, hi, h, page in _page_slices(batch):
+                start, key = run_keys(h, page, hosts[lo:hi], run)
+                own = waits[lo:hi][page[start]]
+                key, of = key[own], part[lo:hi][page[start]][own]
+                _, first = np.unique(np.stack([key, of.astype(np.int64)]), axis=1, return_index=True)
+                names = pa.array(hosts[lo:hi], pa.string()).take(pa.array(page[start][own][first]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), names, pa.array(of[first], pa.int32())], names=["key", "host", "part"])
+
+    return ask
+
+
 def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
     """For each token stream, which tokens lie in runs of ``run`` tokens or more that ``pages`` streams hold.
 
@@ -196,7 +274,7 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
 
 
 def _strip(run: int, pages: int, unique: int):
-    def group(table):
+    def group(table, known):
         texts = table["blocks"].combine_chunks()
         page_of = np.repeat(np.arange(len(texts)), np.asarray(texts.value_lengths().fill_null(0)))
         own = texts.flatten()
@@ -206,12 +284,18 @@ def _strip(run: int, pages: int, unique: int):
         block = np.searchsorted((offs - offs[0])[1:], start, "right")
         page = page_of[block]
         cuts = np.searchsorted(page, np.arange(len(texts) + 1))
-        streams = [h[a:b] | np.uint64(1) for a, b in zip(cuts[:-1], cuts[1:])]
-        first: dict[bytes, int] = {}
-        alike = [first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)]
-        different = sorted(set(alike))
-        covered = dict(zip(different, repeated([streams[i] for i in different], run, pages)))
-        mask = np.concatenate([np.zeros(0, bool), *(covered[a] for a in alike)])
+        if table["wide"][0].as_py():
+            begin, key = run_keys(h, page, table["host"].to_pylist(), run)
+            begin = begin[np.isin(key, known["key"].to_numpy())] if known is not None else begin[:0]
+            edge = np.bincount(begin, minlength=len(h) + 1) - np.bincount(begin + run, minlength=len(h) + 1)
+            mask = np.cumsum(edge[:-1]) > 0
+        else:
+            streams = [h[a:b] | np.uint64(1) for a, b in zip(cuts[:-1], cuts[1:])]
+            first: dict[bytes, int] = {}
+            alike = [first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)]
+            different = sorted(set(alike))
+            covered = dict(zip(different, repeated([streams[i] for i in different], run, pages)))
+            mask = np.concatenate([np.zeros(0, bool), *(covered[a] for a in alike)])
         size = np.bincount(block, minlength=len(own))
         alone = np.bincount(block, ~mask, len(own))
         # A block too short for a run of its own counts as covered only with the whole of it.
@@ -232,11 +316,25 @@ def host(url: str) -> Column:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, shared: int = PAGES, group_pages: int = GROUP_PAGES) -> DataFrame:
     """row, page_id, url and text of every row of ``pages``."""
+    pages = scanned(pages)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host("url"))
     large = pages.select(host(url_col).alias("host")).groupBy("host").count().where(F.col("count") > group_pages).select("host", F.ceil(F.col("count") / group_pages).alias("groups"))
-    dealt = rows.join(broadcast_if_small(large, large.count(), BROADCAST_ROWS), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("groups")), F.lit(0)).cast("int"))
-    parsed = dealt.select("row", "page_id", "url", "host", "part", "html").mapInArrow(_parse, _PARSED)
-    return parsed.groupBy("host", "part").applyInArrow(_strip(run, shared, UNIQUE), "row long, page_id long, url string, text string")
+    large = broadcast_if_small(large, large.count(), BROADCAST_ROWS)
+    dealt = rows.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("groups")), F.lit(0)).cast("int"))
+    dealt = dealt.select("row", "page_id", "url", "host", "part", F.col("groups").isNotNull().alias("wide"), "html")
+    counted = stored(rows.join(large, "host", "left_semi").select("host", "html").mapInArrow(_waiting, "host string").distinct(), "hosts")
+    strip, result, hosts = _strip(run, shared, UNIQUE), "row long, page_id long, url string, text string", counted.count()
+    if not hosts:
+        return dealt.mapInArrow(_parse, _PARSED).groupBy("host", "part").applyInArrow(lambda group: strip(group, None), result)
+    counted = broadcast_if_small(counted, hosts, BROADCAST_ROWS)
+    # Each page of a host that is counted is parsed once more, and its blocks are stored for the passes below.
+    wide = stored(dealt.join(counted, "host", "left_semi").select(*dealt.columns).mapInArrow(_parse, _PARSED), "blocks")
+    alone = dealt.join(counted, "host", "left_anti").select(*dealt.columns).mapInArrow(_parse, _PARSED)
+    seen = wide.select("host", "blocks").mapInArrow(_count(run, shared), "key long, whole long").distinct()
+    known = seen.groupBy("key").count().where(F.col("count") >= shared).select("key")
+    asked = wide.select("host", "part", "blocks", "kinds").mapInArrow(_ask(run), "key long, host string, part int").distinct()
+    back = asked.join(known, "key", "left_semi")
+    return alone.union(wide).groupBy("host", "part").cogroup(back.groupBy("host", "part")).applyInArrow(strip, result)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

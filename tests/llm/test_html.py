@@ -53,3 +53,37 @@ def test_host_boilerplate(spark):
 
 def test_empty(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_runs_of_a_whole_wide_host(spark):
+    """A host dealt into groups keeps the verdict it has in one group, and that of counting by hand."""
+    rng = np.random.default_rng(1)
+    said = lambda i: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 8)) + f" own{i}"
+    often = [" ".join(f"{name}{j}" for j in range(6)) for name in ("menu", "foot", "twice")]
+    pages = []
+    for i in range(90):
+        own = [said(i), *(t for t, at in zip(often, ({5, 41, 77}, set(range(60)), {3, 88})) if i in at)]
+        pages.append((i, own))
+    pages += [(100 + i, pages[9][1] + ["copied words of one page only"]) for i in range(40)]
+    html_of = lambda own: "".join(f"<div>{t}</div>" for t in own)
+    rows = [(i, "http://h.example/", html_of(own)) for i, own in pages] + [(200, "http://h.example/m", f"<article>{often[2]}</article>"), (201, "http://g.example/", html_of(often))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    runs = {}
+    for _, own in [*pages, (200, [often[2]])]:
+        words = " ".join(own).split()
+        for k in range(len(words) - 3):
+            runs.setdefault(tuple(words[k : k + 4]), set()).add(tuple(words))
+    want = {200: often[2], 201: "\n".join(often)}
+    for i, own in pages:
+        words = " ".join(own).split()
+        hit = {j for k in range(len(words) - 3) if len(runs[tuple(words[k : k + 4])]) >= 3 for j in range(k, k + 4)}
+        at, kept = 0, []
+        for t in own:
+            size = len(t.split())
+            if sum(j not in hit for j in range(at, at + size)) > min(html.UNIQUE, size - 1):
+                kept.append(t)
+            at += size
+        want[i] = "\n".join(kept)
+    assert any("menu" in " ".join(own) for _, own in pages) and not any("menu" in t or "foot" in t or "twice" in t for i, t in want.items() if i < 200)
+    for size in (4, 32, 10**6):
+        assert {r["page_id"]: r["text"] for r in html.extract(df, group_pages=size).collect()} == want
