@@ -2,8 +2,11 @@
 
 A page is parsed into blocks of text.  Each block is of one kind: main (within the page's article or main
 part), plain, or named, where the markup says what it is: navigation, headers, footers, sidebars, forms, and
-elements whose class, id or role names a menu, notice, advert or the readers' comments.  Scripts and styles
-are no text.
+elements whose class, id or role names a menu, notice, advert or the readers' comments.  Such a name is a whole
+token (``sidebar``) or a known form of one (``site-footer``, ``commentList``), not a part of any other
+(``has-sidebar``).  It never drops an article or main part, nor one within the element it names, unless the page
+has a main part with text outside of all such elements: then what lies within them is comments and teasers.
+Scripts and styles are no text.
 
 Runs of at least ``RUN`` tokens that ``PAGES`` different pages of a host have are repeated.  Pages whose whole
 streams are alike count as one, so mirrored pages stay.  A block that repeated runs cover, but for ``UNIQUE``
@@ -39,7 +42,7 @@ from .common import broadcast_if_small, scanned, stored, table
 from .textscan import mix, raw_texts, slices, words_of
 
 RUN, PAGES, GROUP_PAGES, UNIQUE = 4, 3, 256, 2
-NAMED, PLAIN, MARKED = 0, 1, 2
+NAMED, PLAIN, MARKED, DOUBTED = 0, 1, 2, 3
 BROADCAST_ROWS = 500_000
 _NAMES = lambda s: frozenset(s.split())
 #: Their content is no text at all, up to the end tag.
@@ -60,25 +63,37 @@ NOTED = _NAMES(
     "related replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe tagcloud toc toolbar tracking widget widgets "
     "contentinfo complementary alert dialog navigation search"
 )
+#: What stands before such a word, and before or behind it, in the known forms of it: site-footer, comment-list, ad-2.
+BEFORE = _NAMES("site page main top bottom left right primary secondary global mobile desktop sticky fixed floating inline first second")
+AROUND = BEFORE | _NAMES("area bar block body box button buttons container content form group holder inner item items link links list module outer panel posts section slot text title unit wrap wrapper")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _noted(name: str, attrs: str) -> bool:
+def _names_noted(token: str) -> bool:
+    """Whether a class, id or role is a noted word or a known form of one."""
+    words = _WORDS.findall(_CAMEL.sub(" ", token).lower())
+    first = next((i for i, w in enumerate(words) if w in NOTED), None)
+    return first is not None and BEFORE.issuperset(words[:first]) and all(w in NOTED or w in AROUND or w.isdecimal() for w in words[first:])
+
+
+def _noted(name: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element's attributes hide it, and whether they name what is no main text."""
     if not attrs or name in ("html", "body"):
-        return False
+        return False, False
+    noted = False
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif key in ("class", "id", "role") and NOTED.intersection(_WORDS.findall(_CAMEL.sub(" ", unescape(value)).lower())):
-            return True
-    return False
+                return True, False
+        elif key in ("class", "id", "role") and any(map(_names_noted, unescape(value).split())):
+            noted = True
+    return False, noted
 
 
 def blocks(html: str) -> list[tuple[str, int]]:
@@ -86,20 +101,22 @@ def blocks(html: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     named: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped from here on, main from here on
-    dropped = main = False
+    # name; from here on: dropped for good, dropped on a word, main, main in an element dropped on a word
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    gone = noted = dropped = main = doubted = False
 
     def end() -> None:
-        for held, kind in ((text, MARKED if main else PLAIN), (named, NAMED)):
+        for held, kind in ((text, DOUBTED if doubted else MARKED if main else PLAIN), (named, NAMED)):
             whole = " ".join(unescape("".join(held)).split()) if held else ""
             held.clear()
             if whole:
                 out.append((whole, kind))
 
     def pop_to(depth: int) -> None:
-        nonlocal dropped, main
+        nonlocal gone, noted, dropped, main, doubted
         del stack[depth:]
-        dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        gone, noted, main, doubted = stack[-1][1:] if stack else (False, False, False, False)
+        dropped = gone or noted
 
     at, n = 0, len(html)
     while at < n:
@@ -146,10 +163,16 @@ def blocks(html: str) -> list[tuple[str, int]]:
             continue
         if m[3].endswith("/") and name not in BLOCK:
             continue
-        stack.append((name, dropped or name in DROPPED and not (main and name == "header") or _noted(name, m[3]), main or name in MAIN))
-        dropped, main = stack[-1][1], stack[-1][2]
+        hides, notes = _noted(name, m[3])
+        gone = gone or hides or name in DROPPED and not (main and name == "header")
+        noted = noted or notes
+        if name in MAIN:
+            main, doubted, noted = True, doubted or noted, False
+        stack.append((name, gone, noted, main, doubted))
+        dropped = gone or noted
     end()
-    return out
+    own = NAMED if any(kind == MARKED for _, kind in out) else MARKED
+    return [(t, own if kind == DOUBTED else kind) for t, kind in out]
 
 
 _PARSED = "row long, page_id long, url string, host string, part int, wide boolean, blocks array<string>, kinds binary"

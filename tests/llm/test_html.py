@@ -17,6 +17,20 @@ def test_article_blocks():
     assert text(page).split("\n") == ["Head & tail", "Bold text", "Next! line two", "x <b> y", "one", "two", "a", "b"]
 
 
+def test_words_in_class_names():
+    story = "<h1>Head</h1><p>The story</p>"
+    for open_, close in (('<div class="layout has-sidebar">', "</div>"), ('<main class="with-toc">', "</main>"), ('<article class="post comments-open">', "</article>"), ("<div id=pageWithSidebar>", "</div>"), ('<div class="no-ads"><article>', "</article></div>")):
+        assert text(open_ + story + close) == "Head\nThe story"
+    # A name of its own doesn't drop the page's article either, but what it names within the article goes.
+    for open_, close in (('<div class="sidebar"><article>', "</article></div>"), ('<article class="widget">', "</article>"), ('<div class="overlay"><main><div class="promo"><article>', "</article></div></main></div>")):
+        assert text(f'<p>outside</p>{open_}{story}<div class="ad">Buy</div>{close}') == "Head\nThe story"
+    comments = '<div id="comments"><article class="comment-body"><p>I think</p></article></div><div class="related-posts"><article><p>Teaser</p></article></div>'
+    assert text(f"<article>{story}{comments}</article>") == text(f"<main>{story}</main>{comments}") == text(f"{comments}<main>{story}</main>") == "Head\nThe story"
+    assert text('<div hidden><article>h</article></div><nav class="x"><article>n</article></nav><p>v</p>') == "v"
+    for name in ("sidebar", "site-footer", "commentList", "ad-2", "nav_bar", "main-nav", "x ads", "search-form"):
+        assert text(f'<div class="{name}">Named</div><p>v</p>') == "v"
+
+
 def test_odd_pages():
     assert text("") == "" and text("plain  text") == "plain text"
     assert text("<p>a<p>b</div></p>c") == "a\nb\nc"
