@@ -5,8 +5,8 @@ the last return the columns of documents: the first three drop rows, the fourth
 (and corrects n_chars).  The last returns the packed pieces.  ``run`` writes each stage's result to the
 shared folder and reads it again for the next.
 
-The result depends on a trained network and a tokenizer, which SQL can't state: tests hold each stage
-against brute force.
+The result depends on a trained network and a tokenizer, which SQL can't state: tests hold the network's stage
+against the labels and the rows of every other stage against brute force.
 """
 
 from __future__ import annotations
