@@ -9,8 +9,9 @@ after it.  Looser shapes of each kind (an address without a full domain, a numbe
 no base span are the unseen instances.  Patterns and instances score each other for ``ROUNDS`` rounds:
 a pattern's score is the summed score of the instances in its slots over all occurrences of its word in
 the corpus, so a common word is worth little; an instance's score joins those of its patterns as
-1 - prod(1 - p).  Instances of at least ``ACCEPT`` join the spans, all of their occurrences.  Patterns
-need ``SUPPORT`` different seeds.
+1 - prod(1 - p).  Instances of at least ``ACCEPT`` join the spans, all of their occurrences.  A pattern
+counts in a round if ``SUPPORT`` different seeds or instances accepted by then are in its slots, so accepted
+instances induce patterns for the next round; instances of no loose shape are never candidates.
 
 Offsets are in code points, ends exclusive.  Rows: a null text is an empty one; no spans give empty
 strings' digests.  Repeated rows and ids each have their own spans.  A span found twice counts once.  An
@@ -134,21 +135,23 @@ def bootstrap(found: DataFrame, docs: DataFrame, text_col: str = "text", rounds:
     sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("before").alias("word")), F.struct(F.lit("R").alias("side"), F.col("after").alias("word"))))
     edges = every.select("kind", "instance", "seed", sides.alias("s")).select("kind", "instance", "seed", "s.side", "s.word").where("word <> ''")
     edges = edges.groupBy("kind", "side", "word", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    useful = edges.groupBy("kind", "side", "word").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where((F.col("seeds") >= support) & (F.col("others") > 0))
+    useful = edges.groupBy("kind", "side", "word").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where((F.col("seeds") + F.col("others") >= support) & (F.col("others") > 0))
+    useful = stored(useful, "patterns")
+    if useful.where(F.col("seeds") >= support).isEmpty():  # nothing is accepted in the first round, so in none
+        return every.where("false").select("row", "kind", "start", "end")
     edges = stored(edges.join(useful.select("kind", "side", "word"), ["kind", "side", "word"], "left_semi"), "edges")
     slots = edges.select("word").distinct()
     wanted = slots.count()
-    if not wanted:
-        return every.where("false").select("row", "kind", "start", "end")
     words = docs.select(F.explode(F.split(F.lower(or_empty(F.col(text_col).cast("string"))), r"\s+")).alias("word"))
     total = stored(words.join(broadcast_if_small(slots, wanted, BROADCAST_ROWS), "word", "left_semi").groupBy("word").agg(F.count("*").alias("total")), "slots")
     graph = stored(edges.join(total, "word"), "graph")
     score = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
         held = graph.join(score, ["kind", "instance"])
-        patterns = held.groupBy("kind", "side", "word").agg(F.least(F.sum(F.col("score") * F.col("n")) / F.max("total"), F.lit(1.0)).alias("p"))
-        joined = graph.join(patterns, ["kind", "side", "word"]).groupBy("kind", "instance").agg(
-            F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("joint")
+        patterns = held.groupBy("kind", "side", "word").agg(F.least(F.sum(F.col("score") * F.col("n")) / F.max("total"), F.lit(1.0)).alias("p"), F.count_if(F.col("seed") | (F.col("score") >= accept)).alias("held"))
+        patterns = patterns.where(F.col("held") >= support).drop("held")
+        joined = graph.join(patterns, ["kind", "side", "word"], "left").groupBy("kind", "instance").agg(
+            F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("p", F.lit(0.0)), F.lit(1e-9)))))).alias("joint")
         )
         score = stored(joined.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(F.col("joint")).alias("score")), "scores")
     chosen = score.where(F.col("score") >= accept).select("kind", "instance")

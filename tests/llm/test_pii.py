@@ -46,6 +46,15 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert all(len(got[i]) == 1 for i in range(8))
 
 
+def test_accepted_instances_induce_patterns(spark):
+    """Only instances that the seeds' word brings in share a word with the last one."""
+    seeds = [f"words here mailto: user{i}@host{i}.example.com thanks for it" for i in range(8)]
+    hop = [f"then mailto: root{i}@localhost ring again" for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate([*seeds, *hop, "the node@inside ring alone", "two@few call here"])), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.detect(docs).collect()}
+    assert [got[i] for i in range(8, 13)] == [[(0, 13, 28)]] * 3 + [[(0, 4, 15)], []]
+
+
 def test_common_words_are_no_patterns(spark):
     texts = [f"the a{i}@b.com of the of the of the of the of the of" for i in range(8)] + ["the odd@thing of it"]
     got = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
