@@ -12,11 +12,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow batches between the JVM and Python hold so many bytes at most, whatever the rows' lengths.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none (tests)."""
+    """The cluster's shared folder; one of our own only in a local session that names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,23 +32,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}/{name}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH_BYTES``, so that no task's memory follows the texts' lengths;
+    a session that has set a bound of its own, below Spark's default, keeps it."""
+    now = spark.conf.get(_BATCHES, None)
+    if now is None or now.rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and returns a DataFrame that reads it back."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_ROW = "__plumbline_row"
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def every_column(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of ``df`` (or those named), whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names or df.columns]
 
 
 def scanned(df: DataFrame) -> DataFrame:
     """``df`` itself if it is read straight from files, so that its rows keep their numbers whenever it is
     read; else a stored copy.  Operators that number rows and come back to them start from this."""
+    small_batches(df.sparkSession)
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     plain = all(line.strip(" :+-").startswith(("Project", "Filter", "Relation")) for line in lines if line.strip())
     return df if plain and len(df.inputFiles()) else stored(df, "rows")
@@ -50,8 +77,9 @@ def scanned(df: DataFrame) -> DataFrame:
 
 def keep_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of ``df`` (a scan) whose monotonically_increasing_id() is among ``rows`` (row), with its columns."""
-    kept = rows.select(F.col("row").alias(_ROW))
-    return df.withColumn(_ROW, F.monotonically_increasing_id()).join(kept, _ROW, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    own = fresh(df, "row")
+    kept = rows.select(F.col("row").alias(own))
+    return df.withColumn(own, F.monotonically_increasing_id()).join(kept, own, "left_semi").select(*every_column(df))
 
 
 def or_empty(text: str | Column) -> Column:
@@ -59,7 +87,10 @@ def or_empty(text: str | Column) -> Column:
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """A broadcast hint only where the counted rows are within ``limit``; else the planner's own join."""
+    """A broadcast hint only where the counted rows are within ``limit``; else the planner's own join.
+
+    ``limit`` bounds bytes only for rows of fixed size: callers pass ids, numbers and hashes, not texts.
+    """
     return F.broadcast(df) if rows <= limit else df
 
 
