@@ -7,11 +7,14 @@
    which a set is indexed, so a common passage's lists are scanned only for sets made of little else.
 3. Sets of at most x shingles enumerate their subsets of the sizes that a partner must share; larger
    ones, and small ones that may link with larger ones, put a prefix of their shingles into inverted
-   lists.  x is where the next size's subsets would cost more rows than its lists (``boundary``).
-4. Lists give candidate pairs.  First each list's members meet its two most typical classes, those with the
+   lists.  x is the largest size up to which the subsets of the sets there are cost no more rows than
+   their lists (``boundary``).
+4. Lists give candidate pairs.  Those of heavy keys are dealt to many tasks; a light key's list is bounded by
+   the bar and the number of tasks.  First each list's members meet two typical classes of it, those with the
    largest shares of heavy shingles (of near copies, the least changed); what links is merged.  Then all
-   pairs of a list that are not yet in one component are taken, long lists in blocks of ``LIST_BLOCK``
-   members.  A pair inside a component could add no class to it, so none is lost.
+   pairs of a list that are not yet in one component are taken, in blocks of ``LIST_BLOCK`` members: blocks of
+   the list's main component meet blocks of its other members, and those each other.  A pair inside a
+   component could add no class to it, so none is lost.
 5. A candidate is held against parity bitmaps, whose distance never exceeds the sets' difference (lists of
    over ``LIGHT_LIST`` members carry them along, so that only what passes leaves the list), and what is left
    is verified on the whole sets.
@@ -39,11 +42,12 @@ from .textscan import mix, raw_texts, slices, words_of
 
 HEAVY = 1_000_000
 LEAST_HEAVY, REPORT = 16, 2
-LARGEST_SMALL = 24
+DEALT = 64
+MOST_SUBSETS = 4096
 LIST_BLOCK = 512
 LIGHT_LIST = 48
 BROADCAST_ROWS = 2_000_000
-TASK_SHINGLES = 6 << 20
+TASK_SHINGLES = 2 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,13 +97,28 @@ def prefix(s, num: int):
     return s - -(-num * s // 100) + 1
 
 
+def subsets(s: int, num: int) -> int:
+    """How many rows a set of s shingles enumerates."""
+    return sum(comb(s, c) for c in subset_sizes(s, num))
+
+
+def largest_enumerable(num: int) -> int:
+    """The largest size whose sets have at most ``MOST_SUBSETS`` subsets each."""
+    s = 1
+    while subsets(s + 1, num) <= MOST_SUBSETS:
+        s += 1
+    return s
+
+
 def boundary(sizes: dict[int, int], list_length: float, num: int) -> int:
-    """The largest size whose subsets, over all sets up to it, cost no more rows than their lists."""
-    x = 0
-    for s in range(1, LARGEST_SMALL + 1):
-        if sum(comb(s, c) for c in subset_sizes(s, num)) > prefix(s, num) * (1 + list_length):
-            break
-        x = s
+    """The largest size up to which all subsets of the sets counted in ``sizes`` (size: sets) cost no more rows
+    than their lists, whose every entry meets ``list_length`` others; 0 without small sets."""
+    x, small, listed = 0, 0.0, 0.0
+    for s in range(1, largest_enumerable(num) + 1):
+        small += sizes.get(s, 0) * subsets(s, num)
+        listed += sizes.get(s, 0) * prefix(s, num) * (1 + list_length)
+        if sizes.get(s, 0) and small <= listed:
+            x = s
     return x
 
 
@@ -144,7 +163,8 @@ _SIZES_NAMES = ["row", "doc_id", "n", "cls"]
 
 
 def _postings(shared):
-    """(key, class, size) of the subsets of small sets and the index prefixes of others."""
+    """(key, class, size) of the subsets of small sets and the index prefixes of others; a key is heavy if all
+    its shingles are."""
 
     def run(batches):
         n, num, x, heavy, weight = shared.value
@@ -164,24 +184,28 @@ def _postings(shared):
                     seen.add(c)
                 if len(seen) > 1 << 20:
                     seen.clear()
-                keys, own = [], []
-                for i in np.flatnonzero((size > 0) & (size <= x)):
-                    for c in subset_sizes(int(size[i]), num):
-                        for sub in combinations(s[cuts[i] : cuts[i + 1]].tolist(), c):
-                            keys.append(xxhash.xxh64_intdigest(np.array(sub, np.uint64).tobytes(), seed=c) - (1 << 63))
-                            own.append(i)
                 rank = np.zeros(len(s), np.uint8)  # 0: light
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                     rank = np.where(heavy[at] == s, weight[at], 0).astype(np.uint8)
+                keys, own, common = [], [], []
+                for i in np.flatnonzero((size > 0) & (size <= x)):
+                    mine, often = s[cuts[i] : cuts[i + 1]], rank[cuts[i] : cuts[i + 1]] > 0
+                    for c in subset_sizes(int(size[i]), num):
+                        for sub in combinations(range(len(mine)), c):
+                            at = list(sub)
+                            keys.append(xxhash.xxh64_intdigest(mine[at].tobytes(), seed=c) - (1 << 63))
+                            own.append(i)
+                            common.append(bool(often[at].all()))
                 order = np.lexsort((s, rank, row))  # rows stay in place: only within each does the order change
                 place = np.arange(len(s)) - cuts[row]
                 listed = size * 100 >= num * (x + 1)
                 take = listed[row] & (place < prefix(size, num)[row])
                 keys = np.concatenate([np.array(keys, np.int64), s[order][take].view(np.int64)])
                 own = np.concatenate([np.array(own, np.int64), row[take]])
+                common = np.concatenate([np.array(common, bool), rank[order][take] > 0])
                 typical = (1000 * np.bincount(row, rank > 0, m) / np.maximum(np.diff(cuts), 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes[own]), pa.array(size[own].astype(np.int32)), pa.array(typical[own])], names=["key", "cls", "n", "typical"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes[own]), pa.array(size[own].astype(np.int32)), pa.array(typical[own]), pa.array(common)], names=["key", "cls", "n", "typical", "heavy"])
 
     return run
 
@@ -232,24 +256,6 @@ def _fits(n: np.ndarray, m: np.ndarray, num: int) -> np.ndarray:
     return np.minimum(n, m).astype(np.int64) * 100 >= num * np.maximum(n, m).astype(np.int64)
 
 
-def _stars(num: int):
-    """Each member with its list's two most typical classes."""
-
-    def run(batches):
-        out = _Pairs()
-        for (_, _, _, _, cls, n, typical), starts in _lists(batches):
-            size = np.diff(np.append(starts, len(cls)))
-            own = np.repeat(np.arange(len(starts)), size)
-            order = np.lexsort((cls, -typical, own))
-            for place in (0, 1):
-                lead = order[starts + np.minimum(place, size - 1)][own]
-                ok = _fits(n, n[lead], num) & (cls != cls[lead])
-                yield from out.add(cls[ok], cls[lead][ok])
-        yield from out.take()
-
-    return run
-
-
 def _apart(num: int):
     """All pairs of a list, or of two of its blocks, that are in different components."""
 
@@ -405,46 +411,68 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heavy = recurring.where(F.col("df") >= LEAST_HEAVY << bar).toArrow()
     keys, df = heavy["shingle"].to_numpy().view(np.uint64), heavy["df"].to_numpy()
     order = np.argsort(keys)
-    sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
+    sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, largest_enumerable(num))).groupBy("n").count().collect()}
     x = boundary(sizes, float((df.astype(np.float64) ** 2).sum()) / max(1, total), num)
     weight = (1 + np.log2(np.maximum(df, 1))).astype(np.uint8)[order]
     shared = sc.broadcast((n, num, x, keys[order], weight))
 
-    only = texts.select("text")
-    postings = only.mapInArrow(_postings(shared), "key long, cls long, n int, typical int")
-    by_key = postings.repartition(F.col("key")).groupBy("key", "cls", "n").agg(F.max("typical").alias("typical"))
-    lists = by_key.withColumn("members", F.expr("count(*) over (partition by key)")).where("members > 1")
-    lists = stored(lists.select("key", "cls", "n", "typical", "members"), "lists")
-
+    postings = texts.select("text").mapInArrow(_postings(shared), "key long, cls long, n int, typical int, heavy boolean")
+    dealt = postings.withColumn("deal", F.when(F.col("heavy"), F.pmod(F.xxhash64("cls"), F.lit(DEALT))).otherwise(-1))
+    by_key = dealt.repartition(F.col("key"), F.col("deal")).groupBy("key", "deal", "cls", "n").agg(F.max("typical").alias("typical"))
+    members = F.expr("count(*) over (partition by key, deal)")
+    lists = stored(by_key.withColumn("members", members).where("members > 1 or deal >= 0").select("key", "cls", "n", "typical"), "lists")
+    shared.destroy()
     classes = _Classes(texts, rows, n)
+    first = _stars(lists, num)
     bitmaps = classes.sets(lists, False)
-
-    none = F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block")
-    stars = lists.select("key", *none, "cls", "n", "typical").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_stars(num), "a long, b long").distinct()
-    first = _verified(stars, bitmaps, classes, num)
-    roots = components(first)
-
-    known = lists.join(roots, lists["cls"] == roots["node"], "left").select("key", "cls", "n", "members", F.coalesce("root", "cls").alias("root"))
-    open_ = known.withColumn("low", F.expr("min(root) over (partition by key)")).withColumn("high", F.expr("max(root) over (partition by key)")).where("low <> high")
-    blocks = F.ceil(F.col("members") / LIST_BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    dealt = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    first = _verified(first, bitmaps, classes, num)
+    roots = stored(components(first), "roots")
+    second = _verified(_open_pairs(lists, roots, bitmaps, num), bitmaps, classes, num)
+    return rows, components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
+
+
+def _stars(lists: DataFrame, num: int) -> DataFrame:
+    """(a, b): each member with two typical classes of each of its lists."""
+    half = lambda i: F.max(F.when(F.pmod(F.xxhash64("cls"), F.lit(2)) == i, F.struct("typical", "cls", "n")))
+    leads = lists.groupBy("key").agg(F.count("*").alias("members"), F.array_compact(F.array(half(0), half(1))).alias("leads")).where("members > 1")
+    leads = stored(leads.select("key", F.explode("leads").alias("lead")).select("key", F.col("lead.cls").alias("other"), F.col("lead.n").alias("m")), "leads")
+    low, high = F.least("n", "m").cast("long"), F.greatest("n", "m").cast("long")
+    met = lists.join(leads, "key").where((F.col("cls") != F.col("other")) & (low * 100 >= high * num))
+    return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+
+
+def _open_pairs(lists: DataFrame, roots: DataFrame, bitmaps: DataFrame, num: int) -> DataFrame:
+    """(a, b): the pairs of a list that are in different components and may link."""
+    known = stored(lists.join(roots, lists["cls"] == roots["node"], "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root")), "known")
+    parts = known.groupBy("key", "root").agg(F.count("*").alias("own"))
+    open_ = parts.groupBy("key").agg(F.max(F.struct("own", "root")).alias("main"), F.sum("own").alias("members")).where("main.own < members")
+    open_ = stored(open_.select("key", F.col("main.root").alias("main"), F.col("main.own").alias("in_main"), "members"), "open")
+    blocks = lambda c: F.ceil(c / LIST_BLOCK).cast("int")
+    of_main, of_rest = blocks(F.col("in_main")), blocks(F.col("members") - F.col("in_main"))
+    inside = F.col("root") == F.col("main")
+    at = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    block = F.when(inside, at(of_main)).otherwise(of_main + at(of_rest))
+    other = F.explode(F.sequence(F.when(inside, of_main).otherwise(F.lit(0)), of_main + of_rest - 1))
+    dealt = known.join(open_, "key").withColumn("block", block).withColumn("other", other)
     pair = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     light = dealt.where(F.col("members") <= LIGHT_LIST).select("key", *pair, "block", "cls", "n", "root", F.lit(None).cast("binary").alias("bits"))
     long_ = dealt.where(F.col("members") > LIGHT_LIST).join(bitmaps.select("cls", "bits"), "cls").select("key", *pair, "block", "cls", "n", "root", "bits")
     dealt = light.unionByName(long_)
-    apart = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j").mapInArrow(_apart(num), "a long, b long").distinct()
-    second = _verified(apart, bitmaps, classes, num)
-    return rows, components(first.unionByName(second))
+    return dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j").mapInArrow(_apart(num), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80) -> DataFrame:
     """row, doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     rows, roots = similar_classes(docs, id_col, text_col, n, num)
-    own = rows.join(roots, rows["cls"] == roots["node"], "left").select("row", "doc_id", "n", F.coalesce("root", "cls").alias("root"))
-    least = own.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("first"))
-    out = own.join(least, "root", "left")
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), (F.col("root").isNull() | (F.col("first.row") == F.col("row"))).alias("kept"))
+    with_set, without = rows.where("cls is not null"), rows.where("cls is null")
+    # Rows of a class are gathered within each task first; what is joined to the rows is one row for each class.
+    each = with_set.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    each = each.join(roots, each["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), "least", "first")
+    each = stored(each, "classes")
+    of_root = stored(each.groupBy("root").agg(F.min("least").alias("least"), F.min("first").alias("first")), "least")
+    of_class = stored(each.select("cls", "root").join(of_root, "root").select("cls", "least", F.col("first.row").alias("keeps")), "of_class")
+    found = with_set.join(of_class, "cls", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), (F.col("keeps") == F.col("row")).alias("kept"))
+    return found.unionByName(without.select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
