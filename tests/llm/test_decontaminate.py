@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -53,6 +54,7 @@ def test_against_brute_force(spark):
 
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
     assert run(spark, DOCS, BENCH, size=4) == brute(DOCS, BENCH, 4)
 
 
@@ -61,13 +63,32 @@ def test_empty_sides(spark):
     assert run(spark, DOCS[:3], []) == brute(DOCS[:3], [])
 
 
+def places(text, window, span):
+    """The minimal places of all different words of a window, less than ``span`` from first to last."""
+    w, terms, found = words(text), set(window), []
+    for last in range(len(w)):
+        firsts = [first for first in range(max(0, last - span + 1), last + 1) if terms <= set(w[first : last + 1])]
+        if firsts and w[last] in terms and not terms <= set(w[max(firsts) : last]):
+            found.append((max(firsts), last))
+    return {(a, b) for a, b in found if not any(a <= c and d <= b and (a, b) != (c, d) for c, d in found)}
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red x x blue x green"), (2, "green blue red"), (3, "red " + "x " * 30 + "blue green"), (4, "red blue")], "doc_id long, text string")
-    tests = d.windows(spark.createDataFrame([(1, "red blue green")], "item_id long, text string"))
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(["red", "blue", "green", "x", "x", "x", "y"]) for _ in range(n))
+    rows = [(1, "red x x blue x green"), (2, "green blue red"), (3, "red " + "x " * 30 + "blue green"), (4, "red blue"), (5, "blue x x x x red x x x x x blue green"), (6, None), (7, "")]
+    rows += [(10 + i, say(rng.randrange(1, 60))) for i in range(40)] + [(99, say(3000))]
+    items = [(1, "red blue green"), (2, "red red x"), (3, "y"), (4, "absent red")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests, _ = d.windows(spark.createDataFrame(items, "item_id long, text string"))
     index, terms = d.postings(docs, tests)
     ids = index.where("term = -1").select("row", "doc_id")
-    got = d.proximity(index, d.ordered_terms(tests, index, terms), span=8).join(ids, "row")
-    assert {(r["doc_id"], r["first"], r["last"]) for r in got.collect()} == {(1, 0, 5), (2, 0, 2)}
+    got = d.proximity(index, d.ordered_terms(tests, index, terms), span=8).join(ids, "row").join(tests, "window")
+    found = sorted((r["doc_id"], " ".join(r["words"]), r["first"], r["last"]) for r in got.collect())
+    assert found == sorted((i, t, a, b) for i, text in rows for _, t in items for a, b in places(text, t.split(), 8))
+    assert (5, "red blue green", 5, 12) in found
+    near = {r["doc_id"]: r["n_near"] for r in d.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), span=8).collect()}
+    assert near == {i: sum(bool(places(text, t.split(), 8)) for _, t in items) for i, text in rows}
 
 
 def test_no_python_on_the_path(spark):
