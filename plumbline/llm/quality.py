@@ -8,7 +8,8 @@
   signs), and a mark where a run repeats the one before.
 * A document is the mean of its words' normalised vectors, damped by how common a bucket is.
 * A two-layer numpy network learns the label from at most ``TRAIN_ROWS`` labelled documents that are
-  not held out; its temperature is set on a fifth of them that it has not seen.
+  not held out, each counting alike; its temperature is set on a fifth of them that it has not seen, so that
+  scores are probabilities at the labels' own share.
 
 Rows: a null text is an empty one, and has the zero vector and so a score like any other.  Rows with
 a null id can't be labelled; they are scored, and count as not held out.  Rows repeated in the labels
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import every_column, fresh, table
 from .textscan import mix, raw_texts, slices, words_of
 
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 4
@@ -168,14 +169,11 @@ class Network:
         a = self._norm(x)
         w = [rng.normal(0, (2 / a.shape[1]) ** 0.5, (a.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN), np.array(0.0)]
         m, v, step = [0 * p for p in w], [0 * p for p in w], 0
-        # Both labels count alike while the weights are learnt.
-        share = np.clip(y[own].mean(), 1e-3, 1 - 1e-3)
-        cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         for _ in range(EPOCHS):
             for at in np.array_split(rng.permutation(own), max(1, len(own) // 128)):
                 z = a[at] @ w[0] + w[1]
                 hid = np.maximum(z, 0)
-                d = (_sigmoid(hid @ w[2] + w[3]) - y[at]) * cost[at] / len(at)
+                d = (_sigmoid(hid @ w[2] + w[3]) - y[at]) / len(at)
                 back = np.outer(d, w[2]) * (z > 0)
                 grads = [a[at].T @ back + 1e-4 * w[0], back.sum(0), hid.T @ d + 1e-4 * w[2], d.sum()]
                 step += 1
@@ -186,7 +184,7 @@ class Network:
         self.weights = w
         if len(held):
             logit = self.logit(x[held])
-            loss = [np.mean(cost[held] * np.logaddexp(0, np.where(y[held] == 1, -logit, logit) / t)) for t in _TEMPERATURES]
+            loss = [np.mean(np.logaddexp(0, np.where(y[held] == 1, -logit, logit) / t)) for t in _TEMPERATURES]
             self.temperature = float(_TEMPERATURES[int(np.argmin(loss))])
         return self
 
@@ -214,7 +212,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % FOLDS == HELD, F.lit(False))
 
 
-def _score(vectors, network):
+def _score(vectors, network, name: str):
     def run(batches):
         for batch in batches:
             data, offs = raw_texts(batch.column(0))
@@ -222,7 +220,7 @@ def _score(vectors, network):
                 own = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 score = network.value.score(pooled(vectors.value, *own))
                 rest = [batch.column(c).slice(lo, hi - lo) for c in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], names=[*batch.schema.names[1:], "score"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], names=[*batch.schema.names[1:], name])
 
     return run
 
@@ -246,14 +244,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return vectors, sc.broadcast(network)
 
 
-def classify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default; its own score and predicted give way) with score
-    (0 to 1) and predicted (1 where score >= 0.5)."""
+def classify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with ``score`` (0 to 1) and ``predicted`` (1 where the score
+    is at least 0.5).  Of the kept columns, those with these two names give way; a caller can choose others."""
     vectors, network = model
-    plain = [c for c in keep or docs.columns if c not in ("score", "predicted")]
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(f"`{c}`") for c in plain))
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_score(vectors, network), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    plain = [c for c in keep or docs.columns if c.lower() not in (score.lower(), predicted.lower())]
+    text = fresh(docs, "text_read")
+    rows = docs.select(F.col(text_col).cast("string").alias(text), *every_column(docs, plain))
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField(score, T.DoubleType())])
+    return rows.mapInArrow(_score(vectors, network, score), schema).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
