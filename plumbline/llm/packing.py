@@ -28,7 +28,7 @@ from .textscan import raw_texts, slices, words_of
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE, END_ID, GROUP_DOCS = 4096, 2, 2048
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 500_000
 #: Words whose split is known: letters that keep their number in lower case and NFC, then plain signs.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([.,;:!?*&%$#|\"()]*)")
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -54,6 +54,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.largest = max(self.encoder.get_vocab().values(), default=0)
         self.clear()
 
     def clear(self) -> None:
@@ -130,16 +131,16 @@ class WordIds:
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def _encode(path: str, end_id: int, narrow: bool):
-    kind = np.uint16 if narrow else np.uint32
-
+def _encode(path: str, end_id: int):
     def run(batches):
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordIds(path))
+        kind = np.uint16 if max(encoder.largest, end_id) < 1 << 16 else np.uint32
         for batch in batches:
             data, offs = raw_texts(batch.column(2))
             for lo, hi in slices(offs):
                 ids = encoder.ids(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], end_id)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1, 3)), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["grp", "row", "doc_id", "ids"])
+                width = pa.array(np.full(hi - lo, np.dtype(kind).itemsize, np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1, 3)), width, pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["grp", "row", "doc_id", "width", "ids"])
 
     return run
 
@@ -230,10 +231,9 @@ def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
     return out
 
 
-def _pack_group(capacity: int, narrow: bool):
-    kind = np.uint16 if narrow else np.uint32
-
+def _pack_group(capacity: int):
     def run(key, group):
+        kind = np.uint16 if group["width"][0].as_py() == 2 else np.uint32
         order = np.argsort(group["row"].to_numpy(), kind="stable")
         ids = [np.frombuffer(group["ids"][int(i)].as_buffer(), kind) for i in order]
         docs = group["doc_id"].take(pa.array(order))
@@ -251,18 +251,18 @@ def _pack_group(capacity: int, narrow: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, capacity: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 17, vocabulary: int = 49_408) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, capacity: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
     """One row for each piece of each document: its place in the document and in a sequence.
 
     Groups are dealt by a hash of the row's number, not of its id, so repeated ids don't meet in one
-    group.  Ids travel as 16 bits where ``vocabulary`` allows.
+    group.  Ids travel as 16 bits where the tokenizer's largest id and the end id allow.
     """
-    path, narrow = tokenizer or tokenizer_path(), vocabulary <= 1 << 16
+    path = tokenizer or tokenizer_path()
     groups = max(1, -(-docs.count() // group_docs))
     row = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row")).select(F.pmod("row", F.lit(groups)).alias("grp"), "row", "text", "doc_id")
-    ids = rows.mapInArrow(_encode(path, end_id, narrow), "grp long, row long, doc_id long, ids binary")
-    return ids.groupBy("grp").applyInArrow(_pack_group(capacity, narrow), _PIECES)
+    ids = rows.mapInArrow(_encode(path, end_id), "grp long, row long, doc_id long, width int, ids binary")
+    return ids.groupBy("grp").applyInArrow(_pack_group(capacity), _PIECES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,17 +92,3 @@ def words_of(buf: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.n
         np.cumsum((_LOWER_CODES if fold else _CODES)[buf] * power[: len(buf)], out=sums[1:])
         h = mix((sums[end] - sums[start]) * inverse[start] + length.astype(np.uint64))
     return start, length, h
-
-
-def scan(col: pa.Array, fold: bool = True):
-    """For each slice: first row, rows, word's row in the slice, word hash, words of each row."""
-    data, offs = raw_texts(col)
-    for lo, hi in slices(offs):
-        own = offs[lo : hi + 1] - offs[lo]
-        start, _, h = words_of(data[offs[lo] : offs[hi]], own, fold)
-        row = np.searchsorted(own[1:], start, "right")
-        yield lo, hi - lo, row, h, np.bincount(row, minlength=hi - lo)
-
-
-def binary(pieces: list[bytes]) -> pa.Array:
-    return pa.array(pieces, pa.binary())
