@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from test_decontaminate import brute
 from test_jaccard import roots, shingles
-from test_pii import base
+from test_pii import base, secrets
 
 import corpus_pipeline
 from plumbline.llm import packing
@@ -16,8 +16,8 @@ SF = "/root/testdata/sf0.001"
 
 def masked(text):
     """Each span, from the left, becomes its kind; one that overlaps the last adds only its length."""
-    kinds = ["email", "ip", "card", "phone"]
-    spans = sorted((int(start), int(end), kinds.index(kind)) for kind, start, end in (s.split(":") for s in base(text)))
+    kinds = ["email", "ip", "card", "phone", "secret"]
+    spans = sorted((int(start), int(end), kinds.index(kind)) for kind, start, end in (s.split(":") for s in base(text) + secrets(text)))
     out, at = "", 0
     for start, end, kind in spans:
         if start >= at:
