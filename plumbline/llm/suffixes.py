@@ -8,18 +8,23 @@ strings can only equal strings of the same piece, and each piece's collection is
 2. The anchor of a string is the M-gram of least hash in it (the leftmost, of equals); equal strings have equal
    anchors at equal places.  The strings of one anchor occurrence make a segment of at most 2 LENGTH - M bytes.
    One scan counts anchors; those that only one place in one text has can't belong to a repeated string.  The
-   others are put into a Bloom filter of fixed size, which may let more pass but never less.
-3. A second scan stores the segments of the anchors that pass.  Equal segments of an anchor need no sorting: all
-   but the earliest are covered whole.  Of the different ones the earliest occurrences go on, where an anchor has
-   two segments or more.
-4. Their collection's suffixes are sorted column by column (``column_sort``): in each round every segment's next
+   others are put into a Bloom filter, sized by their number up to ``FILTER_WORDS`` in all: a full one lets more
+   pass but never less.
+3. A second scan gives the places, anchors and digests of the segments that pass, without their bytes.  Equal
+   segments need no sorting: all but the earliest are covered whole.  A task settles its own, so that as many rows
+   of one segment are left as there are tasks.
+4. Where an anchor has segments of several kinds, the earliest of each kind are read again from their texts.  Their
+   collection's suffixes are sorted column by column (``column_sort``): in each round every segment's next
    symbol to the left is inserted, its place read from the collection's Burrows-Wheeler transform by the last-to-
    first mapping, and the longest common prefixes are carried along.  Suffixes whose common prefix reaches LENGTH
    are equal strings; all but the earliest are covered.
+5. An anchor of more than ``KINDS`` kinds is split first (``_split``): its strings are cut by the place of the anchor
+   in them into two halves, each of which goes by the longer string that its members must share, and so on until a
+   piece has few kinds or its strings stand alone.
 
 Rows: a null text is an empty one.  Null ids come after all others; rows with equal ids follow each other in the
-order of the rows.  Texts under LENGTH bytes keep everything.  An empty table gives no rows.  Columns beyond id and
-text are ignored.
+order of the rows.  Texts under LENGTH bytes keep everything; a text of any length is read in windows.  An empty
+table gives no rows.  Columns beyond id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,32 +34,42 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import broadcast_if_small, or_empty, scanned, shuffle_parts, stored, table
 from .textscan import _CODES, _powers, mix, raw_texts, slices
 
 LENGTH, M = 100, 40
 SLICE_BYTES = 1 << 20
-FILTER_WORDS, BITS = 1 << 22, 4
-LEAST_RANGES, MOST_RANGES, RANGE_BYTES = 64, 1 << 16, 8 << 20
+FILTER_WORDS, BITS, BITS_PER_ANCHOR = 1 << 23, 4, 12
+LEAST_RANGES, RANGE_BYTES = 64, 8 << 20
 TASK_ANCHORS = 1 << 20
-SORT_BYTES = 1 << 20
+SORT_BYTES, KINDS = 1 << 18, 4096
 BROADCAST_ROWS = 2_000_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, m: int = M) -> tuple[np.ndarray, ...]:
-    """(row, anchor hash, first start, last start) of each run of strings with one anchor; starts are in ``data``."""
+    """(row, anchor hash, first start, last start, anchor place, digest) of each run of strings with one anchor;
+    starts and places are in ``data``.  A run may end at the edge of a window of ``SLICE_BYTES``."""
+    out = []
+    for lo in range(0, max(len(data) - length + 1, 1), SLICE_BYTES):
+        part = data[lo : lo + SLICE_BYTES + length - 1]
+        row, h, first, last, place, digest = _window_anchors(part, np.clip(offs - lo, 0, len(part)), length, m)
+        out.append((row, h, first + lo, last + lo, place + lo, digest))
+    return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _window_anchors(data: np.ndarray, offs: np.ndarray, length: int, m: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     none = np.zeros(0, np.int64)
+    nothing = none, none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     if n < length:
-        return none, none.astype(np.uint64), none, none
+        return nothing
     power, inverse = _powers(n)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * power[:n], dtype=np.uint64)])
         h = mix((sums[m:] - sums[:-m]) * inverse[: n - m + 1])
-    if n > int(_PLACE):
-        raise ValueError("a slice is longer than a place can say")
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, span = length - m + 1, 1
     while span * 2 <= width:
@@ -66,11 +81,13 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, m: int = M
     start = np.flatnonzero(np.arange(len(low)) + length <= offs[1:][row])
     place = (low[start] & _PLACE).astype(np.int64)
     if not len(start):
-        return none, none.astype(np.uint64), none, none
+        return nothing
     cut = np.flatnonzero((place[1:] != place[:-1]) | (row[start[1:]] != row[start[:-1]])) + 1
-    first = np.concatenate([[0], cut])
-    last = np.concatenate([cut - 1, [len(start) - 1]])
-    return row[start[first]], h[place[first]], start[first], start[last]
+    head = np.concatenate([[0], cut])
+    first, last, place = start[head], start[np.concatenate([cut - 1, [len(start) - 1]])], place[head]
+    with np.errstate(over="ignore"):
+        digest = mix((sums[last + length] - sums[first]) * inverse[first] + (last - first + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return row[first], h[place], first, last, place, digest
 
 
 def _fresh(seen: dict[int, tuple], text: bytes, key: tuple) -> int | None:
@@ -110,7 +127,7 @@ def _anchor_counts(ranges: int):
             for lo, hi in slices(offs, SLICE_BYTES):
                 own = offs[lo : hi + 1] - offs[lo]
                 part = data[offs[lo] : offs[hi]]
-                row, h, _, _ = anchors(part, own)
+                row, h, *_ = anchors(part, own)
                 text = np.zeros(hi - lo, np.uint64)
                 fresh = np.zeros(hi - lo, bool)
                 for i in np.unique(row).tolist():
@@ -134,13 +151,17 @@ def _anchor_counts(ranges: int):
     return run
 
 
-def _masks(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+def _masks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an anchor's word of its range is, as a hash, and its bits in it."""
     x = mix(h ^ np.uint64(0x3C6EF372FE94F82B))
     mask = np.zeros(len(h), np.uint64)
     for i in range(BITS):
         mask |= np.uint64(1) << ((x >> np.uint64(6 * i)) & np.uint64(63))
-    part = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-    return (part * np.uint64(FILTER_WORDS // ranges) + (x >> np.uint64(32)) % np.uint64(FILTER_WORDS // ranges)).astype(np.int64), mask
+    return x >> np.uint64(24), mask
+
+
+def _range(h: np.ndarray, ranges: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _repeated_range(ranges: int):
@@ -151,51 +172,99 @@ def _repeated_range(ranges: int):
         h, d = read("anchors"), read("texts")
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
-        other = (h[1:] == h[:-1]) & (d[1:] != d[:-1])
-        part, width = key[0].as_py(), FILTER_WORDS // ranges
-        cells = np.zeros(width, np.uint64)
-        at, mask = _masks(np.unique(h[1:][other]), ranges)
-        np.bitwise_or.at(cells, at - part * width, mask)
-        return pa.table({"part": pa.array([part], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary())})
+        found = np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
+        cells = np.zeros(max(1, min(len(found) * BITS_PER_ANCHOR // 64 + 1, FILTER_WORDS // ranges)), np.uint64)
+        at, mask = _masks(found)
+        np.bitwise_or.at(cells, (at % np.uint64(len(cells))).astype(np.int64), mask)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary())})
 
     return run
 
 
-_SEGMENT = "anchor long, digest long, row long, doc_id long, start long, strings int, content binary"
+class _Filter:
+    def __init__(self, rows: pa.Table, ranges: int):
+        self.ranges = ranges
+        cells = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["cells"]]
+        self.size, self.base = np.zeros(ranges, np.uint64), np.zeros(ranges, np.int64)
+        n, parts = np.array([len(x) for x in cells], np.int64), rows["part"].to_numpy()
+        self.size[parts], self.base[parts] = n, np.cumsum(n) - n
+        self.cells = np.concatenate([np.zeros(0, np.uint64), *cells])
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        part = _range(h, self.ranges)
+        out = np.zeros(len(h), bool)
+        at = np.flatnonzero(self.size[part] > 0)
+        place, mask = _masks(h[at])
+        out[at] = (self.cells[self.base[part[at]] + (place % self.size[part[at]]).astype(np.int64)] & mask) == mask
+        return out
+
+
+_SEGMENT = "anchor long, digest long, row long, doc_id long, start long, strings int, place int, sure boolean"
 
 
-def _segments(cells, ranges: int):
+def _segments(shared):
+    """The segments of anchors that pass the filter.  Of equal ones in a task all but the earliest are ``sure`` to be
+    covered; their anchor and digest only deal them out."""
+    names = [f.split()[0] for f in _SEGMENT.split(", ")]
+
+    def settled(held):
+        h, d, row, doc, null, start, strings, place = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((start, row, doc, null, d, h))
+        h, d, row, doc, null, start, strings, place = (x[order] for x in (h, d, row, doc, null, start, strings, place))
+        sure = np.zeros(len(h), bool)
+        sure[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
+        with np.errstate(over="ignore"):
+            h, d = np.where(sure, mix(row.astype(np.uint64)), h), np.where(sure, start.astype(np.uint64), d)
+        for lo in range(0, len(h), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            cols = [pa.array(h[at].view(np.int64)), pa.array(d[at].view(np.int64)), pa.array(row[at]), pa.array(doc[at], mask=null[at]), pa.array(start[at]), pa.array(strings[at]), pa.array(place[at]), pa.array(sure[at])]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
     def run(batches):
-        bits, seen = cells.value, {}
+        held, size, seen = [], 0, {}
         for batch in batches:
             data, offs = raw_texts(batch.column(2))
-            ids, rows = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            ids, rows = batch.column(1), np.asarray(batch.column(0))
+            null, docs = np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
             for lo, hi in slices(offs, SLICE_BYTES):
                 own = offs[lo : hi + 1] - offs[lo]
                 part = data[offs[lo] : offs[hi]]
-                row, h, first, last = anchors(part, own)
-                at, mask = _masks(h, ranges)
-                keep = np.flatnonzero((bits[at] & mask) == mask)
-                row, h, first, last = row[keep], h[keep], first[keep], last[keep]
+                row, h, first, last, place, digest = anchors(part, own)
+                keep = np.flatnonzero(shared.value.holds(h))
                 fresh = np.zeros(hi - lo, bool)
-                for i in np.unique(row).tolist():
-                    fresh[i] = _fresh(seen, part[own[i] : own[i + 1]].tobytes(), _key(ids[lo + i], rows[lo + i])) is not None
-                keep = np.flatnonzero(fresh[row])
-                row, h, first, last = row[keep], h[keep], first[keep], last[keep]
-                whole = part.tobytes()
-                content = [whole[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in content), np.uint64, len(content))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(pa.array(lo + row)), batch.column(1).take(pa.array(lo + row)),
-                        pa.array(first - own[row]), pa.array((last - first + 1).astype(np.int32)), pa.array(content, pa.binary()),
-                    ],
-                    names=[f.split()[0] for f in _SEGMENT.split(", ")],
-                )
+                for i in np.unique(row[keep]).tolist():
+                    key = _key(None if null[lo + i] else int(docs[lo + i]), int(rows[lo + i]))
+                    fresh[i] = _fresh(seen, part[own[i] : own[i + 1]].tobytes(), key) is not None
+                keep = keep[fresh[row[keep]]]
+                row, first, last = row[keep], first[keep], last[keep]
+                held.append((h[keep], digest[keep], rows[lo + row], docs[lo + row], null[lo + row], first - own[row], (last - first + 1).astype(np.int32), (place[keep] - first).astype(np.int32)))
+                size += len(keep)
+                if size > TASK_ANCHORS:
+                    yield from settled(held)
+                    held, size = [], 0
+        if size:
+            yield from settled(held)
 
     return run
 
 
+_CONTENT = "piece long, doc_id long, row long, start long, place int, content binary"
+
+
+def _contents(batches):
+    """The bytes of the segments that are wanted of each text."""
+    for batch in batches:
+        data, offs = raw_texts(batch.column(2))
+        wanted = batch.column(3)
+        count = np.asarray(wanted.value_lengths())
+        of = np.repeat(np.arange(len(wanted)), count)
+        anchor, start, strings, place = (np.asarray(wanted.flatten().field(c)) for c in ("anchor", "start", "strings", "place"))
+        begin = offs[of] + start
+        content = [data[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + strings + LENGTH - 1).tolist())]
+        of = pa.array(of)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(1).take(of), batch.column(0).take(of), pa.array(start), pa.array(place), pa.array(content, pa.binary())], names=[f.split()[0] for f in _CONTENT.split(", ")])
+
+
 class _RangeMin:
     """Least value of any range of a small-integer array."""
 
@@ -226,9 +295,11 @@ def column_sort(strings: list[bytes], most: int = LENGTH) -> tuple[np.ndarray, n
     with one symbol share 1 more than the least common prefix between the places that they came from.  Each round
     reads and writes every array once, in order.
     """
-    k = len(strings)
-    size = np.array([len(s) for s in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8)
+    return _column_sort(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64), most)
+
+
+def _column_sort(text: np.ndarray, size: np.ndarray, most: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = len(size)
     base = np.cumsum(size) - size
     symbol = np.zeros(len(text) + 1, np.uint16)
     symbol[:-1] = text.astype(np.uint16) + 1
@@ -236,7 +307,7 @@ def column_sort(strings: list[bytes], most: int = LENGTH) -> tuple[np.ndarray, n
     def left_of(who: np.ndarray, offset: np.ndarray) -> np.ndarray:
         return np.where(offset > 0, symbol[base[who] + offset - 1], 0).astype(np.uint16)
 
-    who, offset, prefix = np.arange(k), size.astype(np.int32), np.zeros(k, np.uint8)
+    who, offset, prefix = np.arange(k, dtype=np.int32), size.astype(np.int32), np.zeros(k, np.uint8)
     transform, place, live = left_of(who, offset), np.arange(k), np.flatnonzero(size > 0)
     place = place[live]
     for t in range(1, int(size.max(initial=0)) + 1):
@@ -272,39 +343,56 @@ def column_sort(strings: list[bytes], most: int = LENGTH) -> tuple[np.ndarray, n
     return who, offset, prefix
 
 
+def _settle(doc: np.ndarray, null: np.ndarray, row: np.ndarray, start: np.ndarray, text: np.ndarray, size: np.ndarray):
+    """(row, start, strings) runs of covered strings in a collection of segments."""
+    who, offset, prefix = _column_sort(text, size)
+    full = size[who] - offset >= LENGTH
+    group = np.cumsum(prefix < LENGTH)[full]
+    who, at = who[full], offset[full] + start[who[full]]
+    order = np.lexsort((at, row[who], doc[who], null[who], group))
+    covered = np.zeros(len(order), bool)
+    covered[1:] = group[order][1:] == group[order][:-1]
+    r, a = row[who[order][covered]], at[order][covered]
+    by = np.lexsort((a, r))
+    r, a = r[by], a[by]
+    if len(r):
+        cut = np.concatenate([[0], np.flatnonzero((r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1)) + 1, [len(r)]])
+        yield pa.RecordBatch.from_arrays([pa.array(r[cut[:-1]]), pa.array(a[cut[:-1]]), pa.array(np.diff(cut).astype(np.int32))], names=["row", "start", "strings"])
+
+
 def _compare(batches):
-    """(row, start, strings) runs of covered strings among different segments of equal anchors."""
-    held, size, last = [], 0, None
-
-    def settle():
-        strings = [h[5] for h in held]
-        who, offset, prefix = column_sort(strings)
-        lens = np.array([len(s) for s in strings])
-        null = np.array([h[1] is None for h in held])
-        doc, row, start = np.array([h[1] or 0 for h in held], np.int64), np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
-        full = lens[who] - offset >= LENGTH
-        group = np.cumsum(prefix < LENGTH)[full]
-        who, at = who[full], offset[full] + start[who[full]]
-        order = np.lexsort((at, row[who], doc[who], null[who], group))
-        covered = np.zeros(len(order), bool)
-        covered[1:] = group[order][1:] == group[order][:-1]
-        r, a = row[who[order][covered]], at[order][covered]
-        by = np.lexsort((a, r))
-        r, a = r[by], a[by]
-        if len(r):
-            cut = np.concatenate([[0], np.flatnonzero((r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1)) + 1, [len(r)]])
-            yield pa.RecordBatch.from_arrays([pa.array(r[cut[:-1]]), pa.array(a[cut[:-1]]), pa.array(np.diff(cut).astype(np.int32))], names=["row", "start", "strings"])
+    """The covered strings among different segments of a piece (piece, doc_id, row, start, place, content), whole
+    pieces together in collections of about ``SORT_BYTES``."""
+    rest = None
+
+    def collections(cols, last: bool):
+        """Settles whole pieces; what is left."""
+        piece, size = cols[0], cols[6]
+        edge = np.append(np.flatnonzero(piece[1:] != piece[:-1]) + 1, len(piece))
+        upto = np.concatenate([[0], np.cumsum(size)])
+        lo = 0
+        while lo < len(piece):
+            ends = edge[edge > lo]
+            hi = int(ends[min(int(np.searchsorted(upto[ends] - upto[lo], SORT_BYTES)), len(ends) - 1)])
+            if not last and (hi == len(piece) or upto[hi] - upto[lo] < SORT_BYTES):
+                break
+            yield from _settle(*(c[lo:hi] for c in cols[1:5]), cols[5][upto[lo] : upto[hi]], size[lo:hi])
+            lo = hi
+        return None if lo == len(piece) else [*(c[lo:] for c in cols[:5]), cols[5][upto[lo] :], size[lo:]]
 
     for batch in batches:
-        for x in zip(*(c.to_pylist() for c in batch.columns)):
-            if size > SORT_BYTES and x[0] != last:
-                yield from settle()
-                held, size = [], 0
-            last = x[0]
-            held.append(x)
-            size += len(x[5])
-    if held:
-        yield from settle()
+        if not batch.num_rows:
+            continue
+        data, offs = raw_texts(batch.column(5))
+        ids = batch.column(1)
+        cols = [np.asarray(batch.column(0)), np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.asarray(batch.column(2)), np.asarray(batch.column(3)), data[offs[0] : offs[-1]], np.diff(offs)]
+        if rest is not None:
+            cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
+        rest = cols
+        if len(cols[5]) > 4 * SORT_BYTES:
+            rest = yield from collections(cols, False)
+    if rest is not None:
+        yield from collections(rest, True)
 
 
 def _spans(starts: list, strings: list) -> list[tuple[int, int]]:
@@ -335,6 +423,49 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
 
 
+def _read(texts: DataFrame, several: DataFrame) -> DataFrame:
+    """The segments (row, segment) with their bytes, as pieces by their anchors."""
+    wanted = stored(several.groupBy("row").agg(F.collect_list("segment").alias("segments")), "wanted")
+    touched = wanted.select("row")
+    own = texts.join(broadcast_if_small(touched, touched.count(), BROADCAST_ROWS), "row", "left_semi")
+    return own.join(wanted, "row").select("row", "doc_id", "text", "segments").mapInArrow(_contents, _CONTENT)
+
+
+def _split(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The strings of pieces with many kinds: (row, start, strings) of those that an earlier equal part covers, and
+    smaller pieces of the others, each of at most ``KINDS`` kinds.
+
+    A part holds the strings in which the anchor stands ``low`` to ``high`` bytes from the start, by the same halving
+    for all pieces.  They all hold the ``low`` bytes before it and the LENGTH - M - ``high`` bytes behind it, so equal
+    strings are in parts with an equal middle.  Equal parts are settled by their digests; a part of one place is one
+    string.
+    """
+    parts = hot.withColumns({"low": F.lit(0), "high": F.lit(LENGTH - M)})
+    later, few = None, None
+    while True:
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high"))))
+        cut = parts.withColumn("half", halves).select("piece", "doc_id", "row", "start", "place", "content", "half.low", "half.high")
+        # Which of a part's places the segment has.
+        cut = cut.withColumns({"least": F.greatest("low", F.col("place") - F.length("content") + LENGTH), "most": F.least("high", "place")}).where("low <= high and least <= most")
+        cut = cut.select(
+            F.xxhash64("piece", "low", "high", F.substr("content", F.col("place") - F.col("low") + 1, F.col("low") + LENGTH - F.col("high"))).alias("piece"), "doc_id", "row",
+            (F.col("start") + F.col("place") - F.col("most")).alias("start"), F.col("most").alias("place"), (F.col("most") - F.col("least") + 1).alias("strings"),
+            F.substr("content", F.col("place") - F.col("most") + 1, F.col("most") - F.col("least") + LENGTH).alias("content"), "low", "high",
+        )
+        first = Window.partitionBy("piece", "digest").orderBy(F.col("doc_id").isNull(), "doc_id", "row", "start")
+        cut = stored(cut.withColumn("digest", F.xxhash64("content", "place")).withColumn("rank", F.row_number().over(first)), "halves")
+        covered = cut.where("rank > 1").select("row", "start", "strings")
+        later = covered if later is None else later.unionByName(covered)
+        kinds = stored(cut.where("rank = 1").groupBy("piece").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+        left = cut.where("rank = 1 and low < high").join(kinds, "piece")
+        small = left.where(F.col("kinds") <= KINDS).select(*(f.split()[0] for f in _CONTENT.split(", ")))
+        few = small if few is None else few.unionByName(small)
+        parts = left.where(F.col("kinds") > KINDS)
+        if parts.isEmpty():
+            return later, few
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, n_bytes, sha256 of the text, spans (removed, in bytes) and kept (bytes; null where all is kept)."""
     docs = scanned(docs)
@@ -346,21 +477,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copy = (F.col("first").isNotNull() & (F.col("first") != F.col("row"))).alias("copy")
     rows = stored(rows.join(firsts, ["sha256", "n_bytes"], "left").select("row", "doc_id", "n_bytes", "sha256", copy), "rows")
 
-    # As many ranges as keep a range's anchors within a task; the filter is as large whatever their number.
-    ranges = 1 << max(LEAST_RANGES, min(MOST_RANGES, shuffle_parts(spark, texts, RANGE_BYTES))).bit_length() - 1
+    # As many ranges as keep a range's anchors within a task; the filter's bound is the same whatever their number.
+    ranges = max(LEAST_RANGES, shuffle_parts(spark, texts, RANGE_BYTES))
     parts = texts.mapInArrow(_anchor_counts(ranges), "part long, anchors binary, texts binary").groupBy("part").applyInArrow(_repeated_range(ranges), "part long, cells binary").toArrow()
-    cells, width = np.zeros(FILTER_WORDS, np.uint64), FILTER_WORDS // ranges
-    for part, own in zip(parts["part"].to_pylist(), parts["cells"]):
-        cells[part * width : (part + 1) * width] = np.frombuffer(own.as_buffer(), np.uint64)
-    segments = stored(texts.mapInArrow(_segments(spark.sparkContext.broadcast(cells), ranges), _SEGMENT), "segments")
-    slim = segments.select("anchor", "digest", "row", "doc_id", "start", "strings")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("r"), F.col("start").alias("s"))
-    earliest = stored(segments.groupBy("anchor", "digest").agg(F.min(order).alias("first"), F.first("content").alias("content")), "earliest")
-    lead = earliest.select("anchor", "digest", "first")
-    later = slim.join(lead, ["anchor", "digest"]).where((F.col("first.r") != F.col("row")) | (F.col("first.s") != F.col("start"))).select("row", "start", "strings")
-    several = earliest.withColumn("kinds", F.expr("count(*) over (partition by anchor)")).where("kinds > 1")
-    different = several.select("anchor", F.col("first.doc").alias("doc_id"), F.col("first.r").alias("row"), F.col("first.s").alias("start"), F.lit(0).alias("none"), "content")
-    equal = different.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_compare, "row long, start long, strings int")
+    shared = spark.sparkContext.broadcast(_Filter(parts, ranges))
+    earlier = Window.partitionBy("anchor", "digest").orderBy(F.col("doc_id").isNull(), "doc_id", "row", "start")
+    found = texts.mapInArrow(_segments(shared), _SEGMENT).withColumn("rank", F.when(F.col("sure"), 0).otherwise(F.row_number().over(earlier)))
+    segments = stored(found.select("anchor", "row", "doc_id", "start", "strings", "place", "rank"), "segments")
+    shared.destroy()
+    later = segments.where("rank <> 1").select("row", "start", "strings")
+    kinds = stored(segments.where("rank = 1").groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    several = segments.where("rank = 1").join(kinds, "anchor").select("row", F.struct("anchor", "start", "strings", "place").alias("segment"), (F.col("kinds") > KINDS).alias("hot"))
+    different = _read(texts, several.where("not hot"))
+    if not kinds.where(F.col("kinds") > KINDS).isEmpty():
+        more, few = _split(_read(texts, several.where("hot")))
+        later, different = later.unionByName(more), different.unionByName(few)
+    equal = different.repartition(F.col("piece")).sortWithinPartitions("piece").mapInArrow(_compare, "row long, start long, strings int")
     copies = rows.where("copy").select("row")
     covered = later.unionByName(equal).groupBy("row").agg(F.collect_list(F.struct("start", "strings")).alias("found"))
     covered = stored(covered.join(copies, "row", "left_anti"), "covered")

@@ -47,6 +47,25 @@ def test_periodic_and_many_pieces(spark, tmp_path, monkeypatch):
         assert sum(s["end"] - s["start"] for s in r["spans"]) == want[r["doc_id"]][1], r["doc_id"]
 
 
+def test_hot_anchors_and_windows(spark, tmp_path, monkeypatch):
+    """A passage with many surroundings is split, and texts are cut into windows, without another result."""
+    monkeypatch.setattr(suffixes, "KINDS", 4)
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 150)
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, line = say(180), say(70)
+    ends = [say(30) for _ in range(5)]
+    rows = [(i, say(rng.randrange(0, 40)) + rng.choice(ends) + (passage if i % 2 else line) + rng.choice(ends) + say(rng.randrange(0, 60))) for i in range(60)]
+    spark.createDataFrame([*rows, (None, passage), (7, passage * 3), (200, None), (201, "")], "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    from pyspark.sql import functions as F
+
+    want = brute([(r["doc_id"], r["k"], r["text"]) for r in docs.select("doc_id", "text", F.monotonically_increasing_id().alias("k")).collect()])
+    for r in suffixes.remove_repeats(docs).collect():
+        digest = r["sha256"] if r["kept"] is None else hashlib.sha256(bytes(r["kept"])).hexdigest()
+        assert (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), digest) == want[r["row"]], r["doc_id"]
+
+
 def test_column_sort():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [b"", b"aaaa", b"aaaa"]
