@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -300,23 +301,22 @@ def column_sort(strings: list[bytes], most: int = LENGTH) -> tuple[np.ndarray, n
 
 def _column_sort(text: np.ndarray, size: np.ndarray, most: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = len(size)
-    base = np.cumsum(size) - size
-    symbol = np.zeros(len(text) + 1, np.uint16)
-    symbol[:-1] = text.astype(np.uint16) + 1
-
-    def left_of(who: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        return np.where(offset > 0, symbol[base[who] + offset - 1], 0).astype(np.uint16)
-
-    who, offset, prefix = np.arange(k, dtype=np.int32), size.astype(np.int32), np.zeros(k, np.uint8)
-    transform, place, live = left_of(who, offset), np.arange(k), np.flatnonzero(size > 0)
-    place = place[live]
-    for t in range(1, int(size.max(initial=0)) + 1):
-        order = np.argsort(transform, kind="stable")
+    start = np.cumsum(size + 1) - size - 1  # a suffix is its start in the strings, each with an end of its own
+    kind = np.uint8 if not len(text) or text.max() < 255 else np.uint16
+    left = np.zeros(len(text) + k, kind)  # the symbol before it; 0 where there is none
+    at = np.ones(len(left), bool)
+    at[start] = False
+    left[at] = text.astype(kind) + kind(1)
+
+    suffix, prefix = (start + size).astype(np.int32), np.zeros(k, np.uint8)
+    transform, place = left[suffix], np.flatnonzero(size > 0)
+    live = suffix[place]
+    while len(live):
+        order = pc.array_sort_indices(pa.array(transform)).to_numpy().view(np.int64)  # stable, by counting
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         own = rank[place]
-        ended = int(np.searchsorted(transform[order], 1))
-        new = k + own - ended
+        new = own + (k - len(transform) + np.count_nonzero(transform))
         least = _RangeMin(prefix)
         here = transform[place]
         # The neighbours that begin with the same symbol, and where those came from.
@@ -329,18 +329,20 @@ def _column_sort(text: np.ndarray, size: np.ndarray, most: int = LENGTH) -> tupl
         behind = 1 + least.least(place[follows] + 1, after[follows]).astype(np.int64)
 
         n = len(transform) + len(new)
-        old = np.ones(n, bool)
-        old[new] = False
+        kept = np.ones(n, bool)
+        kept[new] = False
+        live = live - 1
         merged = []
-        for x, y in ((who, live), (offset, (size[live] - t).astype(np.int32)), (prefix, np.minimum(shared, most).astype(np.uint8)), (transform, left_of(live, size[live] - t))):
+        for x, y in ((suffix, live), (prefix, np.minimum(shared, most)), (transform, left[live])):
             z = np.empty(n, x.dtype)
-            z[old], z[new] = x, y
+            z[kept], z[new] = x, y
             merged.append(z)
-        who, offset, prefix, transform = merged
+        suffix, prefix, transform = merged
         prefix[new[follows] + 1] = np.minimum(behind, most)
-        going = size[live] > t
+        going = left[live] > 0
         live, place = live[going], new[going]
-    return who, offset, prefix
+    who = np.repeat(np.arange(k), size + 1)[suffix]
+    return who, suffix - start[who], prefix
 
 
 def _settle(doc: np.ndarray, null: np.ndarray, row: np.ndarray, start: np.ndarray, text: np.ndarray, size: np.ndarray):
