@@ -3,25 +3,29 @@
 An archive is two Parquet tables in a shared folder:
 
 * ``payloads(sha256, sha1, n_bytes, payload)``: every distinct payload once, under its SHA-256;
-* ``headers(record_id, sha256, header)``: the exact header bytes of every record.
+* ``headers(record_id, sha256, header)``: the exact header bytes of every record, WARC's and HTTP's.
 
-``records`` puts each original record together again by a join on the digest.  Payload bytes are
-hashed again while they are read, and a stored payload that no longer has its digest stops the job.
+``records`` puts each original record together again by a join on the digest and parses it.  Payload bytes are
+hashed again while they are read; a stored payload that no longer has its digest, a block that has not the declared
+length or digest, and a record without its payload stop the job.
 
 Rows: a null payload or URL is an empty one.  Of rows with equal payloads of at least ``min_bytes``
 the one with the largest id is the response (null is the smallest id; among repeated ids, the first
-row stored); the others are revisits of it.  Shorter payloads are all responses.  An empty table
+row stored); the others are revisits of it.  Where that id is null, so is what they refer to.  Shorter
+payloads are all responses.  All records carry one date, the archive's.  An empty table
 gives an empty archive.  Columns beyond id, url and html are ignored.
 """
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, or_empty, table
+from .common import broadcast_if_small, new_path, or_empty, scanned, table
 
-MIN_REVISIT_BYTES = 1000
+MIN_REVISIT_BYTES, BROADCAST_ROWS = 1000, 2_000_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
@@ -37,15 +41,20 @@ def _urn(page: Column, row: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
-def _header(revisit: Column) -> Column:
-    http = F.concat(F.lit(HTTP_HEAD), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
+def _http(n_bytes: Column) -> Column:
+    return F.concat(F.lit(HTTP_HEAD), n_bytes.cast("string"), F.lit("\r\n\r\n"))
+
+
+def _header(revisit: Column, date: str) -> Column:
+    http = _http(F.col("n_bytes"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), _value(or_empty("url"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
-        F.concat(F.lit("WARC-Block-Digest: sha256:"), F.col("sha256")),
+        F.concat(F.lit("WARC-Block-Digest: sha256:"), F.when(revisit, F.sha2(F.encode(http, "utf-8"), 256)).otherwise(F.col("block_sha256"))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), F.col("refers_to_id"))),
         F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -54,28 +63,35 @@ def _header(revisit: Column) -> Column:
     return F.encode(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), http), "utf-8")
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> str:
-    """Writes the archive of ``pages`` under ``path`` and returns ``path``.
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> str:
+    """Writes the archive of ``pages`` under ``path`` and returns ``path``; ``date`` (UTC, ISO 8601) is now by default.
 
-    Payloads are pre-aggregated by digest before they are shuffled, so a payload that a third of
-    all rows share travels once per task.  Headers need digests only.
+    Digests are taken in one scan and stored; the rows whose payloads are kept come from them, so a payload that a
+    third of all rows share is read once more and never shuffled as often.  Headers need digests only.
     """
+    pages = scanned(pages)
     spark = pages.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.encode(or_empty(F.col(body_col).cast("string")), "utf-8").alias("payload"),
-    ).withColumns({"sha256": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long")})
-    rows.groupBy("sha256", "n_bytes").agg(F.first("payload").alias("payload")).withColumn("sha1", F.sha1("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
-
-    # The row number within the scan is stored before anything depends on it.
-    rows.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), "n_bytes", F.monotonically_increasing_id().alias("row")).write.option("compression", "zstd").parquet(f"{path}/rows")
+    )
+    n_bytes = F.octet_length("payload").cast("long")
+    block = F.sha2(F.concat(F.encode(_http(n_bytes), "utf-8"), F.col("payload")), 256)
+    slim = rows.select("row", "page_id", "url", n_bytes.alias("n_bytes"), F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), block.alias("block_sha256"))
+    slim.write.option("compression", "zstd").parquet(f"{path}/rows")
     slim = spark.read.parquet(f"{path}/rows")
     lead = F.struct(F.col("page_id"), (-F.col("row")).alias("first"))
-    kept = slim.where(F.col("n_bytes") >= min_bytes).groupBy("sha256").agg(F.max(lead).alias("lead"))
-    kept = kept.select("sha256", F.col("lead.page_id").alias("lead_page"), (-F.col("lead.first")).alias("lead_row"))
-    revisit = F.col("lead_row").isNotNull() & (F.col("lead_row") != F.col("row"))
-    heads = slim.join(kept, "sha256", "left").withColumns({"record_id": _urn(F.col("page_id"), F.col("row")), "refers_to_id": _urn(F.col("lead_page"), F.col("lead_row"))})
-    heads.select("record_id", "sha256", _header(revisit).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    slim.groupBy("sha256", "n_bytes", "sha1").agg(F.max(lead).alias("lead")).write.option("compression", "zstd").parquet(f"{path}/leads")
+    leads = spark.read.parquet(f"{path}/leads").select("sha256", "n_bytes", "sha1", F.col("lead.page_id").alias("lead_page"), (-F.col("lead.first")).alias("lead_row"))
+
+    kept = leads.select(F.col("lead_row").alias("row"), "sha256", "n_bytes", "sha1")
+    kept = rows.select("row", "payload").join(broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), "row")
+    kept.select("sha256", "sha1", "n_bytes", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+
+    revisit = (F.col("n_bytes") >= min_bytes) & (F.col("lead_row") != F.col("row"))
+    heads = slim.join(leads.select("sha256", "lead_page", "lead_row"), "sha256").withColumns({"record_id": _urn(F.col("page_id"), F.col("row")), "refers_to_id": _urn(F.col("lead_page"), F.col("lead_row"))})
+    heads.select("record_id", "sha256", _header(revisit, date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     return path
 
 
@@ -90,10 +106,10 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record: its parsed header fields, its payload, and ``record``, its exact bytes.
+    """Every record: ``record``, its exact bytes, its parsed header fields, its payload and the payload's digest.
 
-    A revisit's record holds no payload bytes of its own; ``payload`` has those it refers to.
-    What a caller doesn't select (payload, record) isn't shuffled.
+    A revisit's record holds no payload bytes of its own; ``payload`` has those it refers to.  A response's payload is
+    cut from its record again, and block length and digest are those of the record's bytes.
     """
     heads = spark.read.parquet(f"{path}/headers")
     text = F.decode("header", "utf-8")
@@ -105,14 +121,21 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         return F.regexp_extract(urn, r"^<urn:x-page:(-?[0-9]+):", 1).try_cast("long")
 
     parsed = heads.select(
-        "sha256", "header", field("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("target_uri"),
-        field("WARC-Payload-Digest").alias("declared_digest"), page(field("WARC-Record-ID")).alias("page_id"), page(field("WARC-Refers-To")).alias("refers_to"),
-    )
+        "sha256", "header", field("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"),
+        field("WARC-Payload-Digest").alias("declared_digest"), field("WARC-Block-Digest").alias("block_digest"), field("Content-Length").cast("long").alias("block_bytes"),
+        page(field("WARC-Record-ID")).alias("page_id"), page(field("WARC-Refers-To")).alias("refers_to"),
+        # Where the block begins: behind the WARC header's empty line.
+        F.octet_length(F.concat(F.substring_index(text, "\r\n\r\n", 1), F.lit("\r\n\r\n"))).alias("at"),
+    )
     whole = parsed.join(read_payloads(spark, path), "sha256", "left")
-    checked = F.when(F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("declared_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("no payload for "), F.col("record_id"))))
+    response = F.col("record_type") == "response"
     end = F.lit(b"\r\n\r\n")
-    record = F.concat("header", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")), end)
-    return whole.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to", "record_id", "target_uri", "payload", record.alias("record"))
+    whole = whole.withColumn("record", F.concat("header", F.when(response, F.col("payload")).otherwise(F.lit(b"")), end))
+    block = F.substr("record", F.col("at") + 1, F.octet_length("record") - F.col("at") - 4)
+    own = F.when(response, F.sha1(F.substr("record", F.octet_length("header") + 1, F.octet_length("record") - F.octet_length("header") - 4))).otherwise(F.col("payload_digest"))
+    sound = (F.concat(F.lit("sha1:"), own) == F.col("declared_digest")) & (F.octet_length(block) == F.col("block_bytes")) & (F.concat(F.lit("sha256:"), F.sha2(block, 256)) == F.col("block_digest"))
+    checked = F.when(sound, own).otherwise(F.raise_error(F.concat(F.lit("no payload for "), F.col("record_id"))))
+    return whole.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to", "record_id", "date", "target_uri", "payload", "record")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
