@@ -6,7 +6,8 @@ elements whose class, id or role names a menu, notice, advert or the readers' co
 token (``sidebar``) or a known form of one (``site-footer``, ``commentList``), not a part of any other
 (``has-sidebar``).  It never drops an article or main part, nor one within the element it names, unless the page
 has a main part with text outside of all such elements: then what lies within them is comments and teasers.
-Scripts and styles are no text.
+Scripts, styles, forms' own texts and inert templates are no text.  Everything else is, formulas, drawings' words, the
+text given in place of a missing object or player, and hidden elements too.
 
 Runs of at least ``RUN`` tokens that ``PAGES`` different pages of a host have are repeated.  Pages whose whole
 streams are alike count as one, so mirrored pages stay.  A block that repeated runs cover, but for ``UNIQUE``
@@ -46,15 +47,16 @@ NAMED, PLAIN, MARKED, DOUBTED = 0, 1, 2, 3
 BROADCAST_ROWS = 500_000
 _NAMES = lambda s: frozenset(s.split())
 #: Their content is no text at all, up to the end tag.
-RAW = _NAMES("script style textarea title xmp iframe noembed noframes noscript")
+RAW = _NAMES("script style textarea title iframe noembed noframes")
 VOID = _NAMES("area base br col embed hr img input link meta param source track wbr")
-DROPPED = _NAMES("nav header footer aside form button select dialog menu template svg math canvas object audio video figure-menu head")
+DROPPED = _NAMES("nav header footer aside form button select dialog menu template head")
 BLOCK = _NAMES(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup "
     "hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul"
 )
 MAIN = _NAMES("article main")
-#: Elements that an opening tag ends, if they stand open above no other element listed behind them.
+CELLS = _NAMES("tr td th")
+#: Elements that an opening tag ends, if they stand open with no other block above them (cells apart).
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": _NAMES("li"), "dt": _NAMES("dt dd"), "dd": _NAMES("dt dd"), "tr": _NAMES("tr"), "td": _NAMES("td th tr"), "th": _NAMES("td th tr"), "option": _NAMES("option optgroup")}
 #: Words in class, id or role that name what is no main text.
 NOTED = _NAMES(
@@ -67,7 +69,7 @@ NOTED = _NAMES(
 BEFORE = _NAMES("site page main top bottom left right primary secondary global mobile desktop sticky fixed floating inline first second")
 AROUND = BEFORE | _NAMES("area bar block body box button buttons container content form group holder inner item items link links list module outer panel posts section slot text title unit wrap wrapper")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
+_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -79,21 +81,11 @@ def _names_noted(token: str) -> bool:
     return first is not None and BEFORE.issuperset(words[:first]) and all(w in NOTED or w in AROUND or w.isdecimal() for w in words[first:])
 
 
-def _noted(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element's attributes hide it, and whether they name what is no main text."""
+def _noted(name: str, attrs: str) -> bool:
+    """Whether an element's attributes name what is no main text."""
     if not attrs or name in ("html", "body"):
-        return False, False
-    noted = False
-    for key, *values in _ATTR.findall(attrs):
-        key, value = key.lower(), next((v for v in values if v), "")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True, False
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False
-        elif key in ("class", "id", "role") and any(map(_names_noted, unescape(value).split())):
-            noted = True
-    return False, noted
+        return False
+    return any(any(map(_names_noted, unescape(next((v for v in values if v), "")).split())) for _, *values in _ATTR.findall(attrs))
 
 
 def blocks(html: str) -> list[tuple[str, int]]:
@@ -103,6 +95,8 @@ def blocks(html: str) -> list[tuple[str, int]]:
     named: list[str] = []
     # name; from here on: dropped for good, dropped on a word, main, main in an element dropped on a word
     stack: list[tuple[str, bool, bool, bool, bool]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each name
+    open_blocks: list[int] = []
     gone = noted = dropped = main = doubted = False
 
     def end() -> None:
@@ -114,7 +108,11 @@ def blocks(html: str) -> list[tuple[str, int]]:
 
     def pop_to(depth: int) -> None:
         nonlocal gone, noted, dropped, main, doubted
+        for x in stack[depth:]:
+            places[x[0]].pop()
         del stack[depth:]
+        while open_blocks and open_blocks[-1] >= depth:
+            open_blocks.pop()
         gone, noted, main, doubted = stack[-1][1:] if stack else (False, False, False, False)
         dropped = gone or noted
 
@@ -134,23 +132,23 @@ def blocks(html: str) -> list[tuple[str, int]]:
             if name == "br":
                 end()
                 continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name in BLOCK:
                 end()
-            if depth is not None:
+            if places.get(name):
+                depth = places[name][-1]
                 # An end tag ends what stands open in it; one of no block doesn't end blocks.
-                if name in BLOCK or not any(x[0] in BLOCK for x in stack[depth + 1 :]):
+                if name in BLOCK or not open_blocks or open_blocks[-1] <= depth:
                     pop_to(depth)
             continue
         if name in BLOCK:
             end()
         for open_, enders in CLOSED_BY.items():
             if name in enders:
-                for i in range(len(stack) - 1, -1, -1):
+                for i in reversed(open_blocks):
                     if stack[i][0] == open_:
                         pop_to(i)
                         break
-                    if stack[i][0] in BLOCK and not (open_ in ("tr", "td", "th") and stack[i][0] in ("td", "th", "tr")):
+                    if open_ not in CELLS or stack[i][0] not in CELLS:
                         break
         if name in VOID:
             continue
@@ -163,11 +161,13 @@ def blocks(html: str) -> list[tuple[str, int]]:
             continue
         if m[3].endswith("/") and name not in BLOCK:
             continue
-        hides, notes = _noted(name, m[3])
-        gone = gone or hides or name in DROPPED and not (main and name == "header")
-        noted = noted or notes
+        gone = gone or name in DROPPED and not (main and name == "header")
+        noted = noted or _noted(name, m[3])
         if name in MAIN:
             main, doubted, noted = True, doubted or noted, False
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            open_blocks.append(len(stack))
         stack.append((name, gone, noted, main, doubted))
         dropped = gone or noted
     end()
