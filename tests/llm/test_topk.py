@@ -6,9 +6,9 @@ from plumbline.llm.common import stored
 
 
 def run(spark, rows, **kw):
-    index = topk.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"))
-    queries = stored(index.select("dim", "ids", "uids", "weights").mapInArrow(topk._every(5), topk._QUERY), "queries")
-    return [tuple(r) for r in topk.search(index, queries, k=3, **kw).collect()]
+    index, parts = topk.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"))
+    queries = stored(index.select("dim", "width", "ids", "uids", "weights").mapInArrow(topk._every(5), topk._QUERY), "queries")
+    return [tuple(r) for r in topk.search(index, parts, queries, k=3, **kw).collect()]
 
 
 def brute(rows, every=5, k=3):
@@ -39,6 +39,20 @@ def test_empty_and_few(spark):
 
 
 def test_large_components(spark):
-    rows = [(i, [float(2**30 * (i + 1)), float(-(2**31) + i * 2**12)], 0) for i in range(8)]
-    small = [(v, [x / 2**12 for x in e], s) for v, e, s in rows]
-    assert sorted(run(spark, small)) == brute([(v, [float(__import__("numpy").float32(x)) for x in e], s) for v, e, s in small])
+    rows = [(i, [float(2**18 * (i + 1)), float(-(2**19) + i)], 0) for i in range(8)]
+    assert sorted(run(spark, rows)) == brute(rows)
+
+
+def test_beyond_a_long(spark):
+    rows = [(0, [1e300, 1.0], 0), (1, [1e300, 2.0], 0), (2, [-1e300, 0.0], 0), (3, [0.0, 1.0], 0)]
+    least, most = -(1 << 63), (1 << 63) - 1
+    assert sorted(run(spark, rows)) == [(0, 1, 1, most), (0, 2, 3, 65536), (0, 3, 2, least)]
+
+
+def test_blocks_are_ranges_of_ids(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
+    index, _ = topk.build_index(spark.createDataFrame([(i * 37 % 211, [float(i % 5)], 0) for i in range(211)], "vec_id long, embedding array<double>, score int"))
+    spans = sorted((int(ids.min()), int(ids.max())) for r in index.collect() for ids in [np.frombuffer(r["ids"], np.int64)])
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
