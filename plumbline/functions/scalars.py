@@ -7,8 +7,9 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that the check normaliser unifies, in order.
-WIDE, PLAIN = "～〜：？！；", "~~:?!;"
+#: Characters that the score normaliser unifies, and those that the check normaliser does besides.
+WIDE, PLAIN = "～〜－—（），、º˚＜", "~~--(),,°°<"
+WIDE_CHECK, PLAIN_CHECK = "：？！；", ":?!;"
 
 
 def _c(x: Column | str | float) -> Column:
@@ -20,12 +21,14 @@ def norm_reading(text) -> Column:
     return F.regexp_replace(F.translate(_c(text), "～〜", "~~"), r"(?U)\s+", "")
 
 
-def norm_check(text) -> Column:
-    """As norm_reading, with full-width colon, question, exclamation and semicolon unified too."""
+def norm_score(text) -> Column:
+    """Dashes, brackets, commas, degree and less-than signs unified, white space out."""
     return F.regexp_replace(F.translate(_c(text), WIDE, PLAIN), r"(?U)\s+", "")
 
 
-norm_score = norm_reading
+def norm_check(text) -> Column:
+    """As norm_score, with full-width colon, question, exclamation and semicolon unified too."""
+    return F.regexp_replace(F.translate(_c(text), WIDE + WIDE_CHECK, PLAIN + PLAIN_CHECK), r"(?U)\s+", "")
 
 
 def cer(pred, truth) -> Column:
@@ -64,6 +67,16 @@ def font_size(width_pt, text) -> Column:
     return half_even(_c(width_pt) / F.greatest(effective_width(text), F.lit(0.5)), 1)
 
 
+def placement(tight: list, text, text_height, angle, scale) -> Column:
+    """Where a label goes, in source pixels (one is a point): centre, width, height, font size and angle, 1 place."""
+    x0, y0, x1, y1 = map(_c, tight)
+    k, width, n = _c(scale), (x1 - x0) / _c(scale), effective_width(text)
+    height = F.coalesce(_c(text_height), F.lit(0.0)) / k
+    size = F.when(n > 0, width / n).otherwise(height)
+    values = {"cx": (x0 + x1) / 2.0 / k, "cy": (y0 + y1) / 2.0 / k, "width_pt": width, "height_pt": height, "font_size_pt": size, "angle": F.coalesce(_c(angle), F.lit(0.0))}
+    return F.struct(*(half_even(v, 1).alias(name) for name, v in values.items()))
+
+
 def angle_between(a, b) -> Column:
     """Between undirected lines, in radians."""
     d = F.pmod(_c(a) - _c(b), F.lit(pi))
@@ -76,6 +89,25 @@ def degree_digits(text) -> Column:
     return F.when(m != "", m)
 
 
+def degree_label(text, glyphs) -> Column:
+    """struct(text, note) of a reading that is a degree label by its glyphs (x, y, w, h), else null.
+
+    A small glyph in the upper part, right of the large ones, is the degree sign.  A trailing character that isn't a
+    digit was that sign misread; so was the last digit, where there are fewer large glyphs than digits.
+    """
+    glyphs, top = _c(glyphs), norm_reading(text)
+    tallest = F.array_max(F.transform(glyphs, lambda g: g["h"]))
+    large = F.filter(glyphs, lambda g: g["h"] >= 0.6 * tallest)
+    middle = F.array_min(F.transform(large, lambda g: g["y"] + g["h"] / 2.0))
+    right = F.array_max(F.transform(large, lambda g: g["x"] + g["w"] / 2.0))
+    sign = F.exists(glyphs, lambda g: (g["h"] <= 0.55 * tallest) & (g["y"] + g["h"] <= middle + 1) & (g["x"] + g["w"] / 2.0 > right))
+    digits = degree_digits(text)
+    short = (F.length(top) == F.length(digits)) & (F.size(large) < F.length(digits)) & (F.length(digits) >= 2)
+    kept = F.when(short & (F.size(large) >= 2), F.substr(digits, F.lit(1), F.length(digits) - 1)).otherwise(digits)
+    note = F.when(short & (F.size(large) < 2), "degree sign found but digits merged: check the number")
+    return F.when(digits.isNotNull() & (F.size(glyphs) > 0) & sign, F.struct(F.concat(kept, F.lit("°")).alias("text"), note.alias("note")))
+
+
 def roman_like(text) -> Column:
     return F.rlike(_c(text), F.lit(r"^[IVXLTAl1|\-·.]+$"))
 
@@ -118,11 +150,25 @@ def or_default(x, default: float) -> Column:
     return F.coalesce(F.nullif(_c(x), F.lit(0)), F.lit(default))
 
 
-def strip_width(length, angle_deg, box_w, box_h, least_den: float = 0.3) -> Column:
-    """Glyph height of a slanted strip from its upright box; null near 45 degrees, where it can't be told."""
+def strip_size(angle_deg, box_w, box_h, least_den: float = 0.3) -> Column:
+    """struct(length, height) of a slanted strip from its upright box; null near 45 degrees, where it can't be told."""
     s, c = F.abs(F.sin(F.radians(_c(angle_deg)))), F.abs(F.cos(F.radians(_c(angle_deg))))
-    den = F.abs(c * c - s * s)
-    return F.when(den >= least_den, F.abs(_c(box_h) * c - _c(box_w) * s) / den)
+    den = c * c - s * s
+    return F.when(F.abs(den) >= least_den, F.struct(((_c(box_w) * c - _c(box_h) * s) / den).alias("length"), ((_c(box_h) * c - _c(box_w) * s) / den).alias("height")))
+
+
+def label_id(number) -> Column:
+    return F.concat(F.lit("L"), _c(number).cast("string"))
+
+
+def label_number(name) -> Column:
+    """The number in a label's id (L3 or l3), null for all other ids."""
+    return F.nullif(F.regexp_extract(F.trim(_c(name)), "^[Ll]([0-9]+)$", 1), F.lit("")).cast("int")
+
+
+def switched_on(value) -> Column:
+    """Whether an environment value turns its switch on; a name that begins with NO_ turns it off in the same way."""
+    return F.coalesce(F.lower(F.trim(_c(value))).isin("1", "true", "yes"), F.lit(False))
 
 
 def lab(b, g, r) -> tuple[Column, Column, Column]:
@@ -141,3 +187,27 @@ def lab(b, g, r) -> tuple[Column, Column, Column]:
         return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16 / 116)
 
     return 116 * f(y) - 16, 500 * (f(x) - f(y)), 200 * (f(y) - f(z))
+
+
+def lab8(b, g, r) -> tuple[Column, Column, Column]:
+    """L, a, b of 8-bit pictures: L over 0 to 255, a and b around 128, whole numbers."""
+    light, a, bb = lab(b, g, r)
+    return F.round(light * 255 / 100), F.round(a + 128), F.round(bb + 128)
+
+
+def chroma(a, b) -> Column:
+    return F.hypot(_c(a), _c(b))
+
+
+def hue(a, b) -> Column:
+    return F.atan2(_c(b), _c(a))
+
+
+def hue_apart(a, b) -> Column:
+    """Between two hues, in radians, at most pi."""
+    d = F.pmod(_c(a) - _c(b), F.lit(2 * pi))
+    return F.least(d, 2 * pi - d)
+
+
+def delta_e(p: list, q: list) -> Column:
+    return F.sqrt(sum(((_c(x) - _c(y)) * (_c(x) - _c(y)) for x, y in zip(p, q)), F.lit(0.0)))

@@ -41,12 +41,19 @@ def cell_of(v: Column, size: Column, cells: int) -> Column:
     return F.when(c < cells, c)
 
 
-def grid_ratios(pixels: DataFrame, width: Column, height: Column, gx: int = 12, gy: int = 9) -> DataFrame:
-    """(image_id, row, col, ref_px, cand_px, recall, precision) of pixels (x, y, ref, cand, ref_hit, cand_hit: 0 or 1)."""
-    cells = pixels.withColumn("col", cell_of(F.col("x"), width, gx)).withColumn("row", cell_of(F.col("y"), height, gy)).where("col is not null and row is not null")
+def grid_ratios(pixels: DataFrame, images: DataFrame, gx: int = 12, gy: int = 9) -> DataFrame:
+    """(image_id, row, col, ref_px, cand_px, recall, precision) of every cell of every image (image_id, width, height).
+
+    pixels: image_id, x, y, ref, cand, ref_hit, cand_hit (0 or 1).  What is left over at the right and lower edges is in
+    no cell; a ratio without pixels is null; 3 places.
+    """
+    sized = pixels.join(images.select("image_id", "width", "height"), "image_id")
+    cells = sized.withColumn("col", cell_of(F.col("x"), F.col("width"), gx)).withColumn("row", cell_of(F.col("y"), F.col("height"), gy)).where("col is not null and row is not null")
     sums = cells.groupBy("image_id", "row", "col").agg(*(F.sum(c).alias(c) for c in ("ref", "cand", "ref_hit", "cand_hit")))
+    every = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(gy - 1))).alias("row")).select("image_id", "row", F.explode(F.sequence(F.lit(0), F.lit(gx - 1))).alias("col"))
+    out = every.join(sums, ["image_id", "row", "col"], "left").fillna(0, ["ref", "cand", "ref_hit", "cand_hit"])
     none = F.lit(None).cast("double")
-    return sums.select("image_id", "row", "col", F.col("ref").alias("ref_px"), F.col("cand").alias("cand_px"), F.bround(ratio(F.col("ref_hit"), F.col("ref"), none), 4).alias("recall"), F.bround(ratio(F.col("cand_hit"), F.col("cand"), none), 4).alias("precision"))
+    return out.select("image_id", "row", "col", F.col("ref").alias("ref_px"), F.col("cand").alias("cand_px"), F.bround(ratio(F.col("ref_hit"), F.col("ref"), none), 3).alias("recall"), F.bround(ratio(F.col("cand_hit"), F.col("cand"), none), 3).alias("precision"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -65,7 +72,7 @@ def text_score(rows: DataFrame, keys: list[str], limit: float = 0.34) -> DataFra
     ref, out = F.bround("ref_cer", 2) <= limit, F.bround("out_cer", 2) <= limit
     size = F.when(ref, F.abs(F.col("size_ratio") - 1)) if "size_ratio" in rows.columns else F.lit(None).cast("double")
     agg = rows.groupBy(*keys) if keys else rows.groupBy()
-    out = agg.agg(F.count_if(ref).alias("readable"), F.count_if(ref & out).alias("ok"), F.percentile(size, 0.5).alias("size_err_median"))
+    out = agg.agg(F.count_if(ref).alias("readable"), F.count_if(ref & out).alias("ok"), F.bround(F.percentile(size, 0.5), 2).alias("size_err_median"))
     return out.withColumn("text_ok", F.when(F.col("readable") > 0, F.bround(F.col("ok") / F.col("readable"), 3)))
 
 
@@ -74,10 +81,47 @@ def read_back_failed(angle: Column, src_cer: Column, res_cer: Column, in_source:
     return (F.abs(angle) <= 4) & ((src_cer <= 0.34) | in_source) & (res_cer > src_cer + 0.1)
 
 
+def own_text(read: Column, own: Column, others: Column) -> Column:
+    """A read without the other labels' texts in it: each of ``others`` (different texts, the longest first) is taken out
+    once, but none that is part of the label's own text.  All are normalised by the caller."""
+    return F.aggregate(others, read, lambda left, o: F.when((o == "") | F.contains(own, o) | ~F.contains(left, o), left).otherwise(_without(left, o)))
+
+
+def _without(text: Column, part: Column) -> Column:
+    at = F.position(part, text)
+    return F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(part), F.length(text)))
+
+
+def longest_first(texts: Column) -> Column:
+    """Different texts by falling length; texts of one length in their order."""
+    return F.transform(F.array_sort(F.transform(F.array_distinct(texts), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: s["t"])
+
+
 def coverage(ink: Column, missing: Column) -> Column:
+    """Also precision, of drawn and extra pixels: 1 where there is nothing to cover."""
     return F.when(ink > 0, 1 - missing / ink).otherwise(F.lit(1.0))
 
 
+def colour_recall(coloured: Column, missing: Column, least: int = 200) -> Column:
+    """Null where too little is coloured to say."""
+    return F.when(coloured > least, 1 - missing / coloured)
+
+
+def lost_element(area: Column, page: Column, width: Column, height: Column, close_share: Column) -> Column:
+    """Whether a compact element (12 pixels to 2 % of the page, sides within 8 to 1) is hardly met by like colours."""
+    compact = (area >= 12) & (area <= 0.02 * page) & (F.greatest(width, height) <= 8 * F.least(width, height))
+    return compact & (close_share < 0.4)
+
+
+def element_kept(area: Column, core: Column, skeleton: Column, least: int = 12) -> Column:
+    """Whether a component is a body (4 pixels survive erosion) or a run (10 pixels of skeleton), and no speckle."""
+    return (area >= least) & ((core >= 4) | (skeleton >= 10))
+
+
+def spill_reported(spilled: Column, ink: Column) -> Column:
+    return (ink > 0) & (spilled >= F.greatest(F.lit(60.0), 0.002 * ink))
+
+
 def issue_flags() -> Column:
     """Names of the rules that a row of structural metrics breaks; 0 counts as not measured, as null does."""
     d = or_default
@@ -97,6 +141,33 @@ def issue_flags() -> Column:
     return F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules)))
 
 
+#: Each rule's stage, what it says with the metrics' numbers, and what may help.
+_SAY = {
+    "graphics_missing": ("graphics", lambda c: F.format_string("%.0f%% of the source's graphics are drawn", 100 * c("coverage")), "colour content needs more colours, thin lines the line mode"),
+    "lost_elements": ("graphics", lambda c: F.format_string("%d small solid elements are missing or have another colour", c("lost").cast("int")), "a lost colour needs more colours, a lost black sign the line mode"),
+    "graphics_extra": ("graphics", lambda c: F.format_string("%.0f%% of what is drawn has no counterpart", 100 * (1 - c("precision"))), "often text that was not read or stands elsewhere"),
+    "colour_mismatch": ("graphics", lambda c: F.format_string("%.0f%% of the coloured area has a matching colour", 100 * c("colour_recall")), "colour mode with more colours"),
+    "elements_missing": ("graphics", lambda c: F.format_string("%d small elements of the source are not drawn", c("missing_significant").cast("int")), "more colours, or the line mode for black signs"),
+    "line_width": ("graphics", lambda c: F.format_string("line widths are off by %.2f px (%.0f%%)", c("width_mae"), 100 * c("width_rel")), "rims or strokes were measured wrong"),
+    "ink_extra": ("graphics", lambda c: F.format_string("%.1f%% of the page is painted much darker than the source", 100 * c("ink_extra_share")), "something was filled that should not be"),
+    "ink_missing": ("graphics", lambda c: F.format_string("%.1f%% of the page has lost its dark content", 100 * c("ink_missing_share")), "linework was dropped"),
+    "regions_shifted": ("graphics", lambda c: F.format_string("colour regions overlap the source by %.3f", c("region_iou")), "a region has another colour, is shifted or painted over"),
+    "boundary_shift": ("graphics", lambda c: F.format_string("region boundaries stand %.2f px from the source's edges", c("edge_p75_px")), "too much smoothing, or a wrong edge"),
+    "fragmented": ("graphics", lambda c: F.format_string("%d objects for %d elements of the source", c("objects").cast("int"), c("src_elements").cast("int")), "the region model, or more smoothing"),
+}
+
+
+def issue_records(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, type, stage, detail, hint, regions): one row for each rule that a row of metrics breaks.
+
+    Regions come from a map column ``regions`` (type to boxes) where the metrics have one.
+    """
+    c = lambda n: F.col(n).cast("double")
+    regions = F.try_element_at("regions", F.col("type")) if "regions" in metrics.columns else F.lit(None).cast("array<array<int>>")
+    pick = lambda i: F.coalesce(*(F.when(F.col("type") == name, said[i](c) if callable(said[i]) else F.lit(said[i])) for name, said in _SAY.items()))
+    return metrics.withColumn("type", F.explode(issue_flags())).select(*keys, "type", pick(0).alias("stage"), pick(1).alias("detail"), pick(2).alias("hint"), regions.alias("regions"))
+
+
 def long_metrics(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return wide.unpivot([F.col(k) for k in keys], [F.col(n).cast("double").alias(n) for n in names], "metric", "value").where("value is not null")
 

@@ -50,7 +50,7 @@ def _mean(xs: Column) -> Column:
 
 def _median(xs: Column) -> Column:
     s, n = F.array_sort(xs), F.size(xs)
-    return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2.0
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
 
 
 def _variation(xs: Column) -> Column:
@@ -62,24 +62,42 @@ def _inner(xs: Column) -> Column:
     return F.when(F.size(xs) > 2, F.slice(xs, 2, F.size(xs) - 2)).otherwise(xs)
 
 
-def dash_statistics(profiles: DataFrame) -> DataFrame:
-    """dash, gap (medians), len_cv, gap_cv and n_seg from ons and gaps; end runs left out where there are more than two."""
-    on, off = _inner(F.col("ons")), _inner(F.col("gaps"))
-    return profiles.select(
-        "*", F.size("ons").alias("n_seg"), _median(on).alias("dash"), F.when(F.size(off) > 0, _median(off)).otherwise(0.0).alias("gap"), _variation(on).alias("len_cv"), _variation(off).alias("gap_cv")
-    )
+def _quantile(xs: Column, p: float) -> Column:
+    """Linear between the order's neighbours."""
+    s, at = F.array_sort(xs), (F.size(xs) - 1) * p
+    low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
 
 
-def line_kind(duty: Column, n_seg: Column, dash: Column, gap: Column, len_cv: Column, gap_cv: Column, raw: Column) -> Column:
-    """'none', 'solid', 'sparse', 'dashdot', 'dashed' or 'irregular'; ``raw`` has the on-runs before erosion."""
-    core = _inner(raw)
-    mid = _median(core)
-    dotted = (F.size(core) >= 4) & (mid > 0) & (F.array_max(core) > 2.5 * mid) & (F.array_min(core) < 0.5 * mid)
+def dash_statistics(profiles: DataFrame) -> DataFrame:
+    """n_seg, dash, gap (medians), len_cv, gap_cv, long and dot from duty, ons and gaps, and raw_ons and raw_gaps where
+    the columns are there (the runs before erosion); end runs are left out where there are more than two.
+
+    Empty and solid profiles have no dash, gap and variations.  Of a dash-dot line the dash is the long one, the upper
+    quartile of the raw runs; the dot is the lower one, and the gap that of the raw runs.
+    """
+    c = F.col
+    raw_on, raw_off = (_inner(c(f"raw_{n}" if f"raw_{n}" in profiles.columns else n)) for n in ("ons", "gaps"))
+    on, off = _inner(c("ons")), _inner(c("gaps"))
+    median = lambda xs: F.when(F.size(xs) > 0, _median(xs)).otherwise(0.0)
+    drawn = (F.size("ons") > 0) & (c("duty") <= 0.90)
+    plain = (F.size("ons") >= 3) & (_median(on) >= 3)
+    mid = _median(raw_on)
+    dotted = drawn & plain & (F.size(raw_on) >= 4) & (mid > 0) & (F.array_max(raw_on) > 2.5 * mid) & (F.array_min(raw_on) < 0.5 * mid)
+    out = profiles.withColumns({"n_seg": F.size("ons"), "dashdot": F.coalesce(dotted, F.lit(False)), "len_cv": F.when(drawn, _variation(on)), "gap_cv": F.when(drawn, _variation(off))})
+    return out.withColumns({
+        "long": F.when(c("dashdot"), _quantile(raw_on, 0.75)), "dot": F.when(c("dashdot"), _quantile(raw_on, 0.25)),
+        "dash": F.when(c("dashdot"), _quantile(raw_on, 0.75)).when(drawn, _median(on)), "gap": F.when(c("dashdot"), median(raw_off)).when(drawn, median(off)),
+    })
+
+
+def line_kind(duty: Column, n_seg: Column, dash: Column, gap: Column, len_cv: Column, gap_cv: Column, dashdot: Column) -> Column:
+    """'none', 'solid', 'sparse', 'dashdot', 'dashed' or 'irregular', of ``dash_statistics``."""
     regular = (len_cv < 0.40) & (gap_cv < 0.40)
     sound = (n_seg >= 4) & (duty >= 0.20) & (gap / F.greatest(dash, F.lit(1.0)) <= 3.0)
     return (
-        F.when(n_seg == 0, "none").when(duty > 0.90, "solid").when((n_seg < 3) | (dash < 3), "sparse")
-        .when(dotted, "dashdot").when(regular & sound, "dashed").otherwise("irregular")
+        F.when(n_seg == 0, "none").when(duty > 0.90, "solid").when(dashdot, "dashdot").when((n_seg < 3) | (dash < 3), "sparse")
+        .when(regular & sound, "dashed").otherwise("irregular")
     )
 
 
@@ -90,20 +108,30 @@ def confidence(gap_cv: Column, len_cv: Column, duty: Column, dash: Column, gap:
     return F.when(high, "high").when(medium, "medium").otherwise("low")
 
 
-def thin_points(points: Column, least: float) -> Column:
-    """Points (x, y) at least ``least`` from the last one kept; the first is kept."""
+def thin_points(points: Column, least: float, closed: bool = False) -> Column:
+    """Points (x, y) at least ``least`` from the last one kept; the first is kept.  Of a closed sequence of three or more
+    the last goes too if it is that near the first."""
+    apart = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])
 
     def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) == 0) | (F.hypot(p["x"] - last["x"], p["y"] - last["y"]) >= least), F.concat(acc, F.array(p))).otherwise(acc)
+        return F.when((F.size(acc) == 0) | (apart(p, F.element_at(acc, -1)) >= least), F.concat(acc, F.array(p))).otherwise(acc)
+
+    def end(acc: Column) -> Column:
+        shut = (F.size(acc) >= 3) & (apart(F.element_at(acc, 1), F.element_at(acc, -1)) < least)
+        return F.when(shut, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc) if closed else acc
 
-    return F.aggregate(points, F.slice(points, 1, 0), step)
+    return F.aggregate(points, F.slice(points, 1, 0), step, end)
 
 
-def cut_corners(points: Column) -> Column:
-    """One round of corner cutting of an open polyline: a quarter and three quarters of every segment."""
-    ends = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points)), lambda a, b: F.array(_between(a, b, 0.25), _between(a, b, 0.75)))
-    return F.flatten(ends)
+def cut_corners(points: Column, rounds: int = 1) -> Column:
+    """Corner cutting of an open polyline: a quarter and three quarters of every segment between its two ends, which
+    stay; whole numbers towards zero at the end.  Two points or fewer stay as they are."""
+    out = points
+    for _ in range(rounds):
+        inner = F.zip_with(F.slice(out, 1, F.size(out) - 1), F.slice(out, 2, F.size(out)), lambda a, b: F.array(_between(a, b, 0.25), _between(a, b, 0.75)))
+        out = F.concat(F.slice(out, 1, 1), F.flatten(inner), F.slice(out, -1, 1))
+    whole = F.transform(out, lambda p: F.struct(p["x"].cast("int").cast("double").alias("x"), p["y"].cast("int").cast("double").alias("y")))
+    return F.when(F.size(points) < 3, points).otherwise(whole)
 
 
 def _between(a: Column, b: Column, t: float) -> Column:
