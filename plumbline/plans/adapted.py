@@ -514,7 +514,7 @@ def adapt_score_flow(spark, sf_dir):
 
 @query(
     """
-WITH m AS (SELECT event_id AS id, event_id // 600 AS image_id, event_id * 37 % 497 AS x, event_id * 53 % 489 AS y, event_id * 7 % 90 + 10 AS area, CAST(event_id % 8 AS DOUBLE) + 0.5 AS width FROM events), e AS (SELECT * FROM m WHERE id % 2 = 0 AND width <= 6), r AS (SELECT * FROM m WHERE id % 2 = 1),
+WITH m AS (SELECT event_id AS id, event_id // 600 AS image_id, event_id * 37 % 97 AS x, event_id * 53 % 89 AS y, event_id * 7 % 90 + 10 AS area, CAST(event_id % 8 AS DOUBLE) + 0.5 AS width FROM events), e AS (SELECT * FROM m WHERE id % 2 = 0 AND width <= 6), r AS (SELECT * FROM m WHERE id % 2 = 1),
 p AS (SELECT e.image_id, e.id, e.width, e.area, r.width AS drawn, r.area AS rarea, row_number() OVER (PARTITION BY e.image_id, e.id ORDER BY abs(e.area - r.area), r.id) AS k FROM e JOIN r ON e.image_id = r.image_id AND abs(e.x - r.x) < 10 AND abs(e.y - r.y) < 10)
 SELECT image_id, id, width, drawn FROM p WHERE k = 1 AND rarea / greatest(area, 1) BETWEEN 0.3 AND 3.5
 """
@@ -522,7 +522,7 @@ SELECT image_id, id, width, drawn FROM p WHERE k = 1 AND rarea / greatest(area,
 def adapt_width_match(spark, sf_dir):
     """Widths of marks against those of the result's mark of like area beside them."""
     i = F.col("event_id")
-    m = _t(spark, sf_dir, "events").select(i.alias("id"), F.expr("event_id div 600").alias("image_id"), (i * 37 % 497).alias("x"), (i * 53 % 489).alias("y"), (i * 7 % 90 + 10).alias("area"), ((i % 8).cast("double") + 0.5).alias("width"))
+    m = _t(spark, sf_dir, "events").select(i.alias("id"), F.expr("event_id div 600").alias("image_id"), (i * 37 % 97).alias("x"), (i * 53 % 89).alias("y"), (i * 7 % 90 + 10).alias("area"), ((i % 8).cast("double") + 0.5).alias("width"))
     return spatial.matched_widths(m.where("id % 2 = 0"), m.where("id % 2 = 1"))
 
 
