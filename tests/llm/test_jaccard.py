@@ -77,6 +77,21 @@ def test_subset_sizes_cover_every_small_pair():
                 assert c > s or (c in jaccard.subset_sizes(s, 85) and c in jaccard.subset_sizes(t, 85))
 
 
+def test_boundary_comes_from_the_sizes():
+    """Where small sets are many, their subsets decide; where there are none, nothing is enumerated."""
+    assert jaccard.boundary({}, 50.0, 85) == 0
+    assert jaccard.boundary({5: 100}, 50.0, 85) == 5 and jaccard.boundary({9: 100}, 0.0, 85) == 0
+    few, many = {4: 10_000, 20: 1}, {4: 1, 20: 10_000}
+    assert jaccard.boundary(few, 30.0, 85) == 20 and jaccard.boundary(many, 30.0, 85) < 20
+    assert jaccard.subsets(jaccard.largest_enumerable(85), 85) <= jaccard.MOST_SUBSETS < jaccard.subsets(jaccard.largest_enumerable(85) + 1, 85)
+
+
+def test_heavy_lists_are_dealt(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_HEAVY", 2)
+    monkeypatch.setattr(jaccard, "MOST_SUBSETS", 200)
+    held(docs, 2, 70)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (5, 4), (9, 9), (10, 30), (30, 20), (None, 1)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

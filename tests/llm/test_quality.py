@@ -31,6 +31,19 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in held)
 
 
+def test_probabilities_are_calibrated():
+    """Where text decides a label only to a degree, scores are its share, not that of labels counted alike."""
+    rng = quality.np.random.default_rng(3)
+    x = rng.normal(size=(6000, 4))
+    p = 1 / (1 + quality.np.exp(-(1.5 * x[:, 0] + 2.0)))
+    y = (rng.random(6000) < p).astype(float)
+    network = quality.Network(0.5).fit(x[:4000], y[:4000])
+    score, y = network.score(x[4000:]), y[4000:]
+    at = quality.np.minimum((score * 10).astype(int), 9)
+    off = sum(abs(score[at == i].mean() - y[at == i].mean()) * (at == i).mean() for i in range(10) if (at == i).any())
+    assert off < 0.05 and abs(score.mean() - y.mean()) < 0.03
+
+
 def test_odd_rows(spark):
     docs, labels = corpus(60)
     odd = [(1000, None, None, None, None), (1001, "", None, None, None), (None, "w1 w2", None, None, None), (1002, "w1 " * 30000, None, None, None), docs[0], (1003, "\x00 é漢 \t", None, None, None)]
