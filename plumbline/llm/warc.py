@@ -85,9 +85,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     slim.groupBy("sha256", "n_bytes", "sha1").agg(F.max(lead).alias("lead")).write.option("compression", "zstd").parquet(f"{path}/leads")
     leads = spark.read.parquet(f"{path}/leads").select("sha256", "n_bytes", "sha1", F.col("lead.page_id").alias("lead_page"), (-F.col("lead.first")).alias("lead_row"))
 
-    kept = leads.select(F.col("lead_row").alias("row"), "sha256", "n_bytes", "sha1")
-    kept = rows.select("row", "payload").join(broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), "row")
-    kept.select("sha256", "sha1", "n_bytes", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    kept = leads.select(F.col("lead_row").alias("row"))
+    kept = rows.select("row", "payload").join(broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), "row", "left_semi")
+    kept.select(F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), n_bytes.alias("n_bytes"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     revisit = (F.col("n_bytes") >= min_bytes) & (F.col("lead_row") != F.col("row"))
     heads = slim.join(leads.select("sha256", "lead_page", "lead_row"), "sha256").withColumns({"record_id": _urn(F.col("page_id"), F.col("row")), "refers_to_id": _urn(F.col("lead_page"), F.col("lead_row"))})
