@@ -130,8 +130,21 @@ def zone_of_components(pixels: DataFrame, zones: DataFrame, size: float = 64.0)
     return pixels.groupBy("image_id", "component").agg(F.count("*").alias("pixels")).join(inside, ["image_id", "component"], "left").select("image_id", "component", F.coalesce("inside", F.lit(0)).alias("inside"), "pixels")
 
 
-def touching_regions(pixels: DataFrame, reach: int = 2) -> DataFrame:
-    """(image_id, a, b), a < b: regions whose pixels (image_id, region, x, y) come within ``reach`` of each other each way."""
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    other = pixels.withColumn("o", F.explode(offsets)).select("image_id", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), F.col("region").alias("b"))
-    return pixels.withColumnRenamed("region", "a").join(other, ["image_id", "x", "y"]).where("a < b").select("image_id", "a", "b").distinct()
+def touching_regions(pixels: DataFrame, reach: int = 2, size: int = 1024) -> DataFrame:
+    """(image_id, a, b), a < b: regions whose pixels (image_id, region, x, y) come within ``reach`` of each other each way.
+
+    A task holds the different pixels of one square of ``size`` and those ``reach`` around it; nothing is broadcast.
+    """
+    import pandas as pd
+
+    from plumbline.operators.raster import regions_near
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = regions_near(rows.x.to_numpy(), rows.y.to_numpy(), rows.region.to_numpy(), reach)
+        return pd.DataFrame({"image_id": rows.image_id.iloc[0], "a": a, "b": b})
+
+    image, region = (pixels.schema[c].dataType.simpleString() for c in ("image_id", "region"))
+    x, y = F.col("x"), F.col("y")
+    own = pixels.select("image_id", "region", x.cast("long").alias("x"), y.cast("long").alias("y")).dropna()
+    dealt = with_cells(own, size, x - reach, y - reach, x + reach, y + reach).repartition("image_id", "gx", "gy").distinct()
+    return dealt.groupBy("image_id", "gx", "gy").applyInPandas(run, f"image_id {image}, a {region}, b {region}").distinct()
