@@ -32,12 +32,16 @@ def best_match(left: DataFrame, right: DataFrame, least: float = 0.3, size: floa
     return scored.withColumn("rank", rank).where("rank = 1").select("image_id", F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "iou")
 
 
-def points_in_boxes(boxes: DataFrame, points: DataFrame, size: float = 64.0, share: float = 0.25, pad: float = 2) -> DataFrame:
-    """(image_id, box_id, point_id) of points (image_id, id, x, y) in grown boxes (image_id, id, x0 ... y1)."""
+def points_in_boxes(boxes: DataFrame, points: DataFrame, size: float = 64.0, share: float = 0.25, pad: float = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, box_id, point_id, keep) of points (image_id, id, x, y and the columns ``keep``) in grown boxes (image_id, id,
+    x0 ... y1).
+
+    Both sides are shuffled: a table's estimated size says little about its rows for each cell.
+    """
     w, h = (F.col("x1") - F.col("x0")) * share + pad, (F.col("y1") - F.col("y0")) * share + pad
     b = with_cells(boxes, size, F.col("x0") - w, F.col("y0") - h, F.col("x1") + w, F.col("y1") + h).withColumnRenamed("id", "box_id")
-    p = points.select("image_id", F.col("id").alias("point_id"), "x", "y", F.floor(F.col("x") / size).alias("gx"), F.floor(F.col("y") / size).alias("gy"))
-    return b.join(p, ["image_id", "gx", "gy"]).where(in_grown_box("x", "y", ["x0", "y0", "x1", "y1"], share, pad)).select("image_id", "box_id", "point_id")
+    p = points.select("image_id", F.col("id").alias("point_id"), "x", "y", *(k for k in keep if k not in ("x", "y")), F.floor(F.col("x") / size).alias("gx"), F.floor(F.col("y") / size).alias("gy"))
+    return b.join(p.hint("merge"), ["image_id", "gx", "gy"]).where(in_grown_box("x", "y", ["x0", "y0", "x1", "y1"], share, pad)).select("image_id", "box_id", "point_id", *keep)
 
 
 def read_at(boxes: DataFrame, detections: DataFrame, size: float = 64.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from plumbline.operators import spatial
+from plumbline.operators import score, spatial
 
 
 def _plan(df):
@@ -19,3 +19,25 @@ def test_touching_regions_without_broadcast(spark):
         near = {(m, a, b) for m, a, x, y in whole for n, b, v, w in whole if m == n and a < b and abs(x - v) <= reach and abs(y - w) <= reach}
         assert sorted(map(tuple, found.collect())) == sorted(near) and near
         assert "Broadcast" not in _plan(found)
+
+
+def test_labels_read_without_broadcast(spark):
+    rng = random.Random(6)
+    box = lambda: (x := float(rng.randrange(400)), y := float(rng.randrange(200)), x + rng.randrange(1, 150), y + rng.randrange(1, 60))
+    labels = [(rng.choice("pq"), i, rng.choice(("ab", "a|b", "")), *box(), 0.0) for i in range(30)]
+    reads = [(rng.choice("pq"), rng.choice(("source", "result", "other")), i, rng.choice("abc"), i % 3, *box()) for i in range(80)]
+    found = score.text_rows(spark.createDataFrame(labels, "image_id string, id int, text string, x0 double, y0 double, x1 double, y1 double, angle double"), spark.createDataFrame(reads, "image_id string, role string, id int, text string, ord int, x0 double, y0 double, x1 double, y1 double"))
+
+    def hits(label, role):
+        m, _, _, x0, y0, x1, y1, _ = label
+        w, h = (x1 - x0) / 4 + 2, (y1 - y0) / 4 + 2
+        centres = [((a + c) / 2, (b + d) / 2, o, t, d - b) for n, r, _, t, o, a, b, c, d in reads if (n, r) == (m, role)]
+        return sorted((x, o, t, high) for x, y, o, t, high in centres if x0 - w <= x <= x1 + w and y0 - h <= y <= y1 + h)
+
+    got = {(r["image_id"], r["id"]): r for r in found.collect()}
+    assert len(got) == len(labels)
+    for label in labels:
+        row, drawn = got[label[:2]], hits(label, "result")
+        assert (row["ref_read"], row["out_read"]) == ("".join(t for _, _, t, _ in hits(label, "source")), "".join(t for _, _, t, _ in drawn))
+        assert (row["size_ratio"] is not None) == (len(drawn) == 1 and "|" not in label[2])
+    assert any(r["size_ratio"] for r in got.values()) and "Broadcast" not in _plan(found)
