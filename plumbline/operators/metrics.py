@@ -217,5 +217,14 @@ def largest_regions(rows: DataFrame, keys: list[str], order: list, limit: int) -
     return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def added_in_order(rows: DataFrame, keys: list[str], order: list, aggregates: dict[str, Column]) -> DataFrame:
+    """(keys, aggregates): each key's rows, added one by one in ``order``.  Sums of doubles depend on it, and a rule's limit
+    may lie within that; partial sums of tasks have no order of their own."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.lead(F.lit(True)).over(by).isNull()
+    return rows.select(*keys, *(a.over(upto).alias(n) for n, a in aggregates.items()), last.alias("_last")).where("_last").drop("_last")
+
+
 def issue_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("image_id", "type").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.sum("n").alias("open"), F.sort_array(F.collect_list("type")).alias("types"))

@@ -385,12 +385,16 @@ SELECT l_suppkey, type, 'graphics' AS stage FROM r WHERE type IS NOT NULL
 """
 )
 def adapt_issue_flags(spark, sf_dir):
-    """All issue rules, over metrics derived from each supplier's lines; one row for each issue."""
+    """All issue rules, over metrics derived from each supplier's lines, added in the table's order; one row for each issue."""
     avg, c = F.avg, F.col
-    m = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        F.count_if(c("l_returnflag") == "R").alias("missing_significant"), (avg("l_discount") * 12).alias("mark_recall"), (avg("l_tax") * 10).alias("region_iou"), (avg("l_quantity") / 5).alias("edge_p75_px"), (F.sum("l_discount") / 1e3).alias("ink_extra_share"),
-        (avg("l_tax") * 22).alias("coverage"), (avg("l_discount") * 18).alias("precision"), (avg("l_tax") * 21).alias("colour_recall"), (F.count("*") % 3).alias("lost"), (avg("l_discount") * 12).alias("width_rel"), (avg("l_quantity") / 20).alias("width_mae"),
-        (avg("l_tax") / 4).alias("ink_missing_share"), F.count("*").alias("objects"),
+    lines = _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_discount", "l_tax", "l_quantity", "_metadata.file_path", "_metadata.row_index")
+    sums = metrics.added_in_order(lines, ["l_suppkey"], ["file_path", "row_index"], {
+        "returned": F.count_if(c("l_returnflag") == "R"), "discount": avg("l_discount"), "discounts": F.sum("l_discount"), "tax": avg("l_tax"), "quantity": avg("l_quantity"), "objects": F.count("*"),
+    })
+    m = sums.select(
+        "l_suppkey", c("returned").alias("missing_significant"), (c("discount") * 12).alias("mark_recall"), (c("tax") * 10).alias("region_iou"), (c("quantity") / 5).alias("edge_p75_px"), (c("discounts") / 1e3).alias("ink_extra_share"),
+        (c("tax") * 22).alias("coverage"), (c("discount") * 18).alias("precision"), (c("tax") * 21).alias("colour_recall"), (c("objects") % 3).alias("lost"), (c("discount") * 12).alias("width_rel"), (c("quantity") / 20).alias("width_mae"),
+        (c("tax") / 4).alias("ink_missing_share"), "objects",
     )
     return metrics.issue_records(m.withColumn("src_elements", c("l_suppkey") % 40 + 1), ["l_suppkey"]).select("l_suppkey", "type", "stage")
 

@@ -2,7 +2,11 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from plumbline.operators import score, spatial
+from plumbline.plans import adapted
 
 
 def _plan(df):
@@ -41,3 +45,24 @@ def test_labels_read_without_broadcast(spark):
         assert (row["ref_read"], row["out_read"]) == ("".join(t for _, _, t, _ in hits(label, "source")), "".join(t for _, _, t, _ in drawn))
         assert (row["size_ratio"] is not None) == (len(drawn) == 1 and "|" not in label[2])
     assert any(r["size_ratio"] for r in got.values()) and "Broadcast" not in _plan(found)
+
+
+def test_issues_at_a_limit_are_those_of_sums_in_table_order(spark, tmp_path):
+    rng = random.Random(7)
+    rows = []
+    for supplier in range(80):  # discounts of 0.05 on average: their sum in doubles decides on the rules
+        half = [rng.randrange(11) for _ in range(30)]
+        rows += [(supplier, n / 100) for n in half + [10 - n for n in half]]
+    rng.shuffle(rows)
+    columns = {"l_suppkey": [s for s, _ in rows], "l_returnflag": ["N"] * len(rows), "l_discount": [d for _, d in rows], "l_tax": [0.06] * len(rows), "l_quantity": [30.0] * len(rows)}
+    pq.write_table(pa.table(columns), tmp_path / "lineitem.parquet", row_group_size=300)
+    sums = {}
+    for s, d in rows:
+        sums[s] = sums.get(s, 0.0) + d
+    expected = {(s, t) for s, x in sums.items() for t, broken in (("graphics_extra", x / 60 * 18 < 0.9), ("line_width", x / 60 * 12 > 0.6)) if broken}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {(r["l_suppkey"], r["type"]) for r in adapted.QUERIES["adapt_issue_flags"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {g for g in got if g[1] in ("graphics_extra", "line_width")} == expected and len({t for _, t in expected}) == 2
