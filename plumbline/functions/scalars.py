@@ -41,6 +41,12 @@ def half_even(x, places: int = 0) -> Column:
     return F.bround(_c(x), places)
 
 
+def half_even_double(x, places: int = 0) -> Column:
+    """Of the double as it is, moved by ``places``, as SQL's round_even: 0.575 lies below its tie (``half_even`` takes the
+    shortest decimal for the value)."""
+    return F.rint(_c(x) * 10.0**places) / 10.0**places
+
+
 def iou(a: list, b: list) -> Column:
     """Of boxes [x0, y0, x1, y1]; 1e-9 in the denominator keeps empty boxes defined."""
     ax0, ay0, ax1, ay1, bx0, by0, bx1, by1 = map(_c, [*a, *b])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.scalars import has_cjk, iou, norm_reading, numeric_with_unit, roman_like
+from plumbline.functions.scalars import half_even_double, has_cjk, iou, norm_reading, numeric_with_unit, roman_like
 from plumbline.operators.spatial import with_cells
 
 LEAST_SCORE, LEAST_VOTES = 0.9, 4
@@ -145,7 +145,7 @@ def unlabeled_text(groups: DataFrame, limit: int = 8) -> DataFrame:
     sized = c("h").between(0.6 * c("glyph_h"), 1.8 * c("glyph_h")) & c("w").between(0.6 * c("glyph_h"), 10 * c("glyph_h"))
     shaped = c("fill").between(0.08, 0.55) & (c("pieces") >= 2) & (c("holes") < 0.08 * area) & (c("bars") < 0.5 * c("ink"))
     found = groups.where(sized & (c("covered") <= 0.2) & (c("coloured") <= 0.05) & shaped)
-    found = found.withColumn("textness", F.bround((c("ink") - c("bars")) / F.greatest(c("ink"), F.lit(1)), 2))
+    found = found.withColumn("textness", half_even_double((c("ink") - c("bars")) / F.greatest(c("ink"), F.lit(1)), 2))
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("textness"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit)
 

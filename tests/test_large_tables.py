@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from plumbline.operators import score, spatial
 from plumbline.plans import adapted
@@ -66,3 +67,16 @@ def test_issues_at_a_limit_are_those_of_sums_in_table_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {g for g in got if g[1] in ("graphics_extra", "line_width")} == expected and len({t for _, t in expected}) == 2
+
+
+def test_textness_at_a_tie_is_that_of_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    suppliers = [next(s for s in range(b, 2000, 40) if 3 <= s % 25 <= 16) for b in range(20)]  # of b upright pieces, in boxes of text's height
+    lines = [(40 * i, 100, suppliers[(i * 8 + j) % 20], 2 + j, 30.0, 0.0, 0.0) for i in range(41 * 5) for j in range(8)]
+    names = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    pq.write_table(pa.table(dict(zip(names, zip(*lines)))), tmp_path / "lineitem.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    expected = sorted(connection.sql(adapted.ORACLE_SQL["adapt_unlabeled_text"]).fetchall())
+    got = adapted.QUERIES["adapt_unlabeled_text"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == expected and 0.57 in {r[2] for r in expected}
