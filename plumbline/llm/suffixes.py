@@ -52,7 +52,8 @@ _PLACE = np.uint64((1 << 28) - 1)
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, m: int = M) -> tuple[np.ndarray, ...]:
     """(row, anchor hash, first start, last start, anchor place, digest) of each run of strings with one anchor;
-    starts and places are in ``data``.  A run may end at the edge of a window of ``SLICE_BYTES``."""
+    starts and places are in ``data``.  A run may end at the edge of a window of ``SLICE_BYTES``.  Least hashes crowd
+    near zero, so the anchor's is mixed once more (one to one): ranges of it then hold equal shares."""
     out = []
     for lo in range(0, max(len(data) - length + 1, 1), SLICE_BYTES):
         part = data[lo : lo + SLICE_BYTES + length - 1]
@@ -88,7 +89,7 @@ def _window_anchors(data: np.ndarray, offs: np.ndarray, length: int, m: int) ->
     first, last, place = start[head], start[np.concatenate([cut - 1, [len(start) - 1]])], place[head]
     with np.errstate(over="ignore"):
         digest = mix((sums[last + length] - sums[first]) * inverse[first] + (last - first + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return row[first], h[place], first, last, place, digest
+        return row[first], mix(h[place]), first, last, place, digest
 
 
 def _fresh(seen: dict[int, tuple], text: bytes, key: tuple) -> int | None:

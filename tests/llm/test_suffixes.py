@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import suffixes
 
@@ -66,6 +67,18 @@ def test_hot_anchors_and_windows(spark, tmp_path, monkeypatch):
         assert (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), digest) == want[r["row"]], r["doc_id"]
 
 
+def test_ranges_are_even():
+    """No range of anchors, whose task sorts them in memory, has much more than its share."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(range(200), pa.int64()), pa.array(texts)], names=["row", "doc_id", "text"])
+    held = np.zeros(64, int)
+    for out in suffixes._anchor_counts(64)([batch]):
+        for part, h in zip(out["part"].to_pylist(), out["anchors"].to_pylist()):
+            held[part] += len(h) // 8
+    assert held.max() < 2 * held.mean()
+
+
 def test_column_sort():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [b"", b"aaaa", b"aaaa"]
