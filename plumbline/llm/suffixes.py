@@ -41,7 +41,7 @@ from .common import broadcast_if_small, or_empty, scanned, shuffle_parts, stored
 from .textscan import _CODES, _powers, mix, raw_texts, slices
 
 LENGTH, M = 100, 40
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 FILTER_WORDS, BITS, BITS_PER_ANCHOR = 1 << 23, 4, 12
 LEAST_RANGES, RANGE_BYTES = 64, 8 << 20
 TASK_ANCHORS = 1 << 20
