@@ -29,8 +29,10 @@ from .textscan import raw_texts, slices, words_of
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE, END_ID, GROUP_DOCS = 4096, 2, 2048
 CACHE_WORDS = 500_000
-#: Words whose split is known: letters that keep their number in lower case and NFC, then plain signs.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([.,;:!?*&%$#|\"()]*)")
+_SIGNS = b".,;:!?*&%$#|\"()"
+#: Words that the tokenizer leaves whole: letters that keep their number in lower case and NFC, or plain signs.
+_PLAIN = re.compile(f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01ff]+|[{re.escape(_SIGNS.decode())}]+")
+_END = "</w>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -40,13 +42,41 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _among(values: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+_IS_SIGN, _IS_LETTER, _IS_LEAD = _among(_SIGNS), _among(bytes([*range(65, 91), *range(97, 123)])), _among(bytes(range(0xC3, 0xC8)))
+
+
+def sign_cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Marks the bytes where a plain letter follows a plain sign or a sign a letter, inside of a text's words.
+
+    The tokenizer always splits there (an apostrophe, which may begin a word's ending, is no plain sign),
+    and normalises either side alone.  Letters are ASCII's and those of two bytes from U+00C0 to U+01FF
+    but U+0130, whose lower case is two signs.
+    """
+    sign, begins = _IS_SIGN[data], _IS_LETTER[data]
+    ends = begins.copy()
+    lead = np.flatnonzero(_IS_LEAD[data[:-1]] & (data[1:] >> 6 == 2))
+    lead = lead[~np.isin(data[lead].astype(np.int64) << 8 | data[lead + 1], (0xC397, 0xC3B7, 0xC4B0))]
+    lead = lead[~np.isin(lead + 1, offs)]
+    begins[lead] = ends[lead + 1] = True
+    out = np.zeros(len(data), bool)
+    out[1:] = (sign[1:] & ends[:-1]) | (sign[:-1] & begins[1:])
+    out[offs[offs < len(data)]] = False
+    return out
+
+
 class WordIds:
     """The tokenizer's ids, remembered by word in sorted arrays.
 
-    It normalises (white space, NFC, lower case) and splits within runs that hold no white space, so
-    a text's ids are those of its words in turn.  Words are told apart by 64-bit hashes; only words
-    not met before are handed to the tokenizer, plain ones many to a call.  Texts with "<|", which
-    may begin a special token, go to the tokenizer whole.
+    It normalises (white space, NFC, lower case) and splits within runs that hold no white space, and
+    where plain letters meet plain signs, so a text's ids are those of such words in turn.  Words are
+    told apart by 64-bit hashes; only words not met before are handed to the tokenizer, plain ones many
+    to a call.  Texts with "<|", which may begin a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -54,55 +84,57 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.largest = max(self.encoder.get_vocab().values(), default=0)
+        vocab = self.encoder.get_vocab()
+        self.largest = max(vocab.values(), default=0)
+        #: Which ids end a word; None where the tokenizer doesn't mark them.
+        self.last = None
+        if getattr(self.encoder.model, "end_of_word_suffix", None) == _END:
+            self.last = np.zeros(self.largest + 1, bool)
+            self.last[[i for w, i in vocab.items() if w.endswith(_END)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.hash, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word.  Plain words are joined by spaces; the split's numbers say whose each id is."""
-        out: list = [None] * len(words)
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            if m := _PLAIN.fullmatch(w):
-                parts += [x for x in m.groups() if x]
-                owner += [i] * sum(map(bool, m.groups()))
-        for lo in range(0, len(parts), 2000):
-            own = owner[lo : lo + 2000]
-            e = self.encoder.encode(" ".join(parts[lo : lo + 2000]), add_special_tokens=False)
-            spans = e.word_ids
-            if spans and spans[-1] == len(own) - 1:
-                for i, w in zip(e.ids, spans):
-                    k = own[w]
-                    if out[k] is None:
-                        out[k] = [i]
-                    else:
-                        out[k].append(i)
-            else:
-                for k in set(own):
-                    out[k] = self.encoder.encode(words[k], add_special_tokens=False).ids
-        odd = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(odd, self.encoder.encode_batch([words[i] for i in odd], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin in them, their number).  Plain words are joined by spaces; the ids
+        that end a word say whose each id is."""
+        plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        if self.last is None:
+            plain[:] = False
+        n, at, found, used = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        own = np.flatnonzero(plain)
+        groups = [own[lo : lo + 2000] for lo in range(0, len(own), 2000)]
+        for g, e in zip(groups, self.encoder.encode_batch_fast([" ".join([words[i] for i in g.tolist()]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(g):  # not as foreseen: each word alone
+                plain[g] = False
+                continue
+            n[g], at[g] = np.diff(ends, prepend=0), used + np.concatenate([[0], ends[:-1]])
+            found.append(ids)
+            used += len(ids)
+        odd = np.flatnonzero(~plain)
+        for i, e in zip(odd.tolist(), self.encoder.encode_batch_fast([words[i] for i in odd.tolist()], add_special_tokens=False)):
+            n[i], at[i] = len(e.ids), used
+            found.append(np.array(e.ids, np.uint32))
+            used += len(e.ids)
+        return np.concatenate([np.zeros(0, np.uint32), *found]), at, n
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = self.encode(words)
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
+        flat, at, n = self.encode(words)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(n) - n
+        at += self.used
         self.used += len(flat)
         where = np.searchsorted(self.hash, hashes)
         self.hash, self.at, self.n = np.insert(self.hash, where, hashes), np.insert(self.at, where, at), np.insert(self.n, where, n)
 
     def ids(self, data: np.ndarray, offs: np.ndarray, end: int) -> list[np.ndarray]:
         """Ids of each text of ``data`` (bytes), with the end id."""
-        start, length, h = words_of(data, offs)
+        start, length, h = words_of(data, offs, cut=sign_cuts(data, offs))
         row = np.searchsorted(offs[1:], start, "right")
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hash) > CACHE_WORDS:
@@ -113,7 +145,12 @@ class WordIds:
             new = self.hash[np.minimum(pos, len(self.hash) - 1)] != uniq
         if new.any():
             at = first[new]
-            self.learn(uniq[new], [data[s : s + n].tobytes().decode("utf-8", "replace") for s, n in zip(start[at].tolist(), length[at].tolist())])
+            ends = np.cumsum(length[at] + 1)
+            joined = np.full(ends[-1], 0x20, np.uint8)
+            inside = np.ones(ends[-1], bool)
+            inside[ends - 1] = False
+            joined[inside] = data[np.repeat(start[at] - np.cumsum(length[at]) + length[at], length[at]) + np.arange(int(length[at].sum()))]
+            self.learn(uniq[new], joined[:-1].tobytes().decode("utf-8", "replace").split(" "))
             pos = np.searchsorted(self.hash, uniq)
         n, at = self.n[pos][back], self.at[pos][back]
         ends = np.cumsum(n)

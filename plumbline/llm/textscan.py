@@ -67,10 +67,10 @@ def slices(offs: np.ndarray, most: int = SLICE):
         lo = min(hi, n)
 
 
-def words_of(buf: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, offs: np.ndarray, fold: bool = True, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, hash) of each word in ``buf``, whose texts begin at ``offs`` and end at its end.
 
-    A word never crosses from one text to the next.
+    A word never crosses from one text to the next.  ``cut`` marks bytes inside of words at which another begins.
     """
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -83,6 +83,9 @@ def words_of(buf: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.n
     last[:-1] &= ~inside[1:]
     tails = heads[heads > 0] - 1
     last[tails] |= inside[tails]
+    if cut is not None:
+        first |= cut
+        last[:-1] |= cut[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     length = end - start
     power, inverse = _powers(len(buf))

@@ -8,6 +8,9 @@ from plumbline.llm import packing
 from plumbline.llm.textscan import raw_texts
 
 
+_HELD: dict = {}
+
+
 def padding(sequences, capacity):
     return sum(0 if not n & (n - 1) else capacity - n for n in (sum(p[2] for p in s) for s in sequences))
 
@@ -48,6 +51,26 @@ def test_ids_equal_the_tokenizers(texts):
     assert [x.tolist() for x in got] == want
 
 
+def test_signs_are_words_of_their_own():
+    import pyarrow as pa
+
+    own = packing.WordIds(packing.tokenizer_path())
+    own.ids(*raw_texts(pa.array([" ".join(b + w + a for w in ("alpha", "beta", "éta") for b in ("", "(", '"') for a in ("", ",", ".", "!!"))])), 2)
+    assert len(own.hash) == 3 + 5  # not 3 * 3 * 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aBsTlz'.,;:!?*&%$#|\"()<>-_09 \t\n\x1c\x85\xa0×÷ßéÀÿİıŉſǅǰǿȀΣ²½漢\u0301\u0307\u0338\u200b😀")), max_size=14), max_size=6))
+def test_ids_of_odd_signs(own):
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    if "encoder" not in _HELD:
+        _HELD.update(encoder=Tokenizer.from_file(packing.tokenizer_path()), words=packing.WordIds(packing.tokenizer_path()))
+    want = [[*e.ids, 2] for e in _HELD["encoder"].encode_batch(own, add_special_tokens=False)]
+    assert [x.tolist() for x in _HELD["words"].ids(*raw_texts(pa.array(own, pa.string())), 2)] == want
+
+
 def test_pieces_of_documents(docs):
     from tokenizers import Tokenizer
 
