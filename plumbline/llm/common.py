@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}/{name}"
+    return f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}-{name}"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -40,11 +41,32 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCHES, str(BATCH_BYTES))
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Has the driver's JVM give freed native memory back to the system: planning and compiling many small
+    queries otherwise leaves over a hundred MB with its allocator.  A JVM without that command goes on as it is."""
+    jvm = spark.sparkContext._jvm
+    try:
+        # The server's own class is not exported, so its method is called by the interface.
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 1), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 1)
+        args[2][0], args[3][0] = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0), "[Ljava.lang.String;"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a DataFrame that reads it back."""
+    """Writes ``df`` to the shared folder and returns a DataFrame that reads it back.
+
+    No ``_SUCCESS`` is left: a failed write raises, and on a local file system the driver would start two programs
+    for it, each a moment long a second process with all of the driver's memory.
+    """
     small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
